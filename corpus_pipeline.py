@@ -1,16 +1,68 @@
-"""A corpus pipeline of five stages; see STAGES."""
+"""A corpus pipeline of five stages.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it works on
+all rows of its predecessor. All but the last return the columns of
+``documents``. Which rows a stage keeps is in its docstring.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearfield.llm.fertility import fertility
+from nearfield.llm.jaccard_join import jaccard_components
+from nearfield.llm.mixing import poisson_mixture
+from nearfield.llm.queries import SHARD_BYTES
+from nearfield.llm.sharding import extendible_shards
+from nearfield.llm.store import Scratch
+from nearfield.llm.tiling import contamination
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the tokeniser rules keep; a document's rows are judged together if its id repeats."""
+    verdict = Scratch(spark, "quality").write(fertility(docs).where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct(), "rejected")
+    return docs.join(verdict, "doc_id", "left_anti").select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each component of five-word shingles at similarity 0.8; documents without an id stay."""
+    found = jaccard_components(docs, shingle=5, threshold=(80, 100)).where("component < id").select(F.col("id").alias("doc_id")).distinct()
+    gone = Scratch(spark, "near").write(found, "copies")
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't contain half of a benchmark item, in whatever order."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contamination(docs, benchmark).where("contaminated").select(F.col("id").alias("doc_id")).distinct()
+    leaks = Scratch(spark, "leaks").write(found, "leaks")
+    return docs.join(leaks, "doc_id", "left_anti").select(COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many rows as there are, on average, with every source at the same share: each document as often as drawn."""
+    return poisson_mixture(docs).select(COLUMNS)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, each with its shard of at most SHARD_BYTES bytes of text; copies of a document share a shard."""
+    return extendible_shards(docs, SHARD_BYTES)
+
 
-STAGES: list = []
+STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontaminated), ("mixing sources", mixed), ("sharding", sharded)]
+#: Tokenisers and tiling can't be put in SQL; tests/llm holds the rows against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of ``documents`` after all stages."""
+    """The rows of ``documents`` after all stages, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    scratch = Scratch(spark, "pipeline")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = scratch.write(docs, name.replace(" ", "-"))
     return docs
