@@ -12,6 +12,8 @@ wrong bit costs time, never a link.
 Large groups of copies are handled without emitting their pairs:
 
 * equal sets are one representative, the smallest id;
+* a shared token must come early enough in both orders for what follows to
+  reach the similarity;
 * in each group of equal prefix tokens, one leader (the member with the fewest
   infrequent tokens, the likely original) is compared with the others;
 * after connecting those links, only groups that still hold several components
@@ -81,6 +83,7 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, mar
             for i, seed in enumerate(SEEDS):
                 key = (mix(s ^ seed) >> U(1)) | (hot.astype(U) << U(63))
                 pick = np.argpartition(key, p - 1)[:p] if p < n else np.arange(n)
+                pick = pick if i else pick[np.argsort(key[pick], kind="stable")]
                 orders.append(signed(s[pick]) if not i else (s[pick] >> U(32)).astype(np.uint32).view(np.int32))
             with np.errstate(over="ignore"):
                 print1, print2 = (np.sum(mix(s ^ seed)) if n else U(0) for seed in (U(0x452821E638D01377), U(0xBE5466CF34E90C6C)))
@@ -158,13 +161,14 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     sets = scratch.write(docs.mapInArrow(partial(_describe, k=shingle, num=num, den=den, marks=shared), schema), "sets")
 
     full = sets.where("n > 0 and id is not null")
-    same = full.groupBy("n", "print1", "print2").agg(F.min("id").alias("rep"))
+    same = scratch.write(full.groupBy("n", "print1", "print2").agg(F.min("id").alias("rep")), "same")
     rep = same.select(F.col("rep").alias("id"), "n").distinct()
     lead = full.join(rep, ["id", "n"], "left_semi")
-    rows = lead.select("id", F.col("n").cast("int").alias("n"), "rare", F.explode("first").alias("token"))
-    groups = rows.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("rare", "id", "n")).alias("lead")).where("m > 1").select("token", "lead")
-    fits = f"least(n, other_n) * {den} >= greatest(n, other_n) * {num}"
-    members = scratch.write(rows.join(groups, "token").select("token", "id", "n", F.col("lead.id").alias("other"), F.col("lead.n").alias("other_n")), "members")
+    rows = lead.select("id", F.col("n").cast("int").alias("n"), "rare", F.posexplode("first").alias("at", "token"))
+    groups = rows.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("rare", "id", "n", "at")).alias("lead")).where("m > 1").select("token", "lead")
+    # sizes, and what may follow the first shared token: a pair's first one passes if the pair reaches the similarity
+    fits = f"least(n, other_n) * {den} >= greatest(n, other_n) * {num} and least(n - at, other_n - other_at) * {num + den} >= {num} * (n + other_n)"
+    members = scratch.write(rows.join(groups, "token").select("token", "id", "n", "at", F.col("lead.id").alias("other"), F.col("lead.n").alias("other_n"), F.col("lead.at").alias("other_at")), "members")
     pairs = members.where("id <> other").where(fits).select(F.col("other").alias("a"), F.col("id").alias("b")).distinct()
 
     def filtered(pairs: DataFrame) -> DataFrame:
@@ -179,10 +183,10 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     known = scratch.write(components(links, scratch), "known")
 
     # groups of equal prefix tokens that still hold several components
-    named = members.join(known, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("part"), "other")
+    named = members.join(known, "id", "left").select("token", "id", "n", "at", F.coalesce("component", "id").alias("part"), "other")
     mixed = named.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max(F.when(F.col("id") == F.col("other"), F.col("part"))).alias("main")).where("low < high").select("token", "main")
     left = scratch.write(named.join(mixed, "token"), "left")
-    strays = left.where("part <> main").select("token", F.col("id").alias("a"), F.col("n").alias("other_n"), F.col("part").alias("other_part"), F.col("other").alias("leader"))
+    strays = left.where("part <> main").select("token", F.col("id").alias("a"), F.col("n").alias("other_n"), F.col("at").alias("other_at"), F.col("part").alias("other_part"), F.col("other").alias("leader"))
     more = strays.join(left, "token").where("part <> other_part and id <> leader and " + fits).where("part = main or a < id").select(F.col("a"), F.col("id").alias("b")).distinct()
     again = _links(filtered(more), docs, shingle, num, den, scratch)
 
