@@ -51,10 +51,10 @@ g AS (
 n AS (SELECT doc_id, len(s)::BIGINT AS n FROM g),
 e AS (SELECT doc_id, unnest(s) AS s FROM g),
 i AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
   FROM e a JOIN e b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (
-  SELECT a, b FROM i JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * both >= 90 * (x.n + y.n - both)),
+  SELECT a, b FROM i JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
 edge AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM n

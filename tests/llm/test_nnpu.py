@@ -1,0 +1,65 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from nearfield.llm.nnpu import toxicity, train
+
+SCHEMA = "doc_id long, text string, score double"
+BAD = ["vile", "scum", "wretch", "filth"]
+
+
+def rows(seed, n):
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"w{i}" for i in range(500)]
+    out = []
+    for i in range(n):
+        toxic = int(rng.random() < 0.2)
+        words = list(rng.choice(vocabulary, int(rng.integers(5, 80))))
+        if toxic:
+            words[1:1] = list(rng.choice(BAD, 2))
+        out.append((i, " ".join(words).capitalize() + ".", toxic))
+    return out
+
+
+def test_held_out(spark):
+    made = rows(1, 1500)
+    docs = spark.createDataFrame([(i, t, 0.0) for i, t, _ in made], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in made if i % 2], "doc_id long, quality int, toxic int")
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    found = {r["id"]: r["score"] for r in toxicity(docs, labels, ~held).collect()}
+    assert len(found) == 1500 and all(0 <= s <= 1 for s in found.values())
+    tested = [(y, found[i] >= 0.7) for i, _, y in made if i % 3 == 1]
+    assert np.mean([p for y, p in tested if y]) > 0.85 and np.mean([p for y, p in tested if not y]) < 0.02
+
+
+def test_negative_labels_are_not_used(spark):
+    made = rows(2, 400)
+    docs = spark.createDataFrame([(i, t, 0.0) for i, t, _ in made], SCHEMA)
+    all_labels = spark.createDataFrame([(i, y) for i, _, y in made], "doc_id long, toxic int")
+    a = toxicity(docs, all_labels, F.lit(True), prior=0.2).collect()
+    b = toxicity(docs, all_labels.where("toxic = 1"), F.lit(True), prior=0.2).collect()
+    assert sorted(a) == sorted(b)
+
+
+def test_non_negative_part():
+    # with a prior far too high the corrected risk goes below zero; training still ends with finite weights
+    model = train(["bad bad"] * 20 + ["bad word"] * 20, ["good word"] * 50 + ["bad"] * 2, 0.6)
+    assert np.isfinite(model.weights).all() and np.isfinite(model.bias)
+
+
+def test_odd_rows(spark):
+    made = rows(3, 300)
+    odd = [(900, None, 0.0), (901, "", 0.0), (902, "vile scum " + "w1 " * 30000, 0.0), (902, "vile scum", 0.0), (None, "filth wretch", 0.0)]
+    docs = spark.createDataFrame([(i, t, 0.0) for i, t, _ in made] + odd, SCHEMA)
+    labels = spark.createDataFrame([(i, y) for i, _, y in made] * 2 + [(None, 1), (5, None), (777777, 1)], "doc_id long, toxic int")
+    found = toxicity(docs, labels, F.lit(True)).collect()
+    assert len(found) == 305
+    by = {r["id"]: r["score"] for r in found if r["id"] != 902}
+    assert by[900] == by[901] < 0.5 < 0.7 <= by[None]
+    assert all(r["score"] >= 0.7 for r in found if r["id"] == 902)
+
+
+def test_nothing_to_learn(spark):
+    docs = spark.createDataFrame([(1, "a", 0.0), (2, None, 0.0)], SCHEMA)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert len({r["score"] for r in toxicity(docs, none, F.lit(True)).collect()}) == 1
+    assert toxicity(docs.limit(0), none, F.lit(True)).collect() == []

@@ -1,0 +1,94 @@
+import hashlib
+import math
+from collections import Counter, defaultdict
+
+import pytest
+
+from nearfield.llm.mixing import poisson_mixture, poisson_table
+from nearfield.llm.sharding import extendible_shards
+
+
+def bits(key):
+    return bin(int(hashlib.md5(str("" if key is None else key).encode()).hexdigest()[:15], 16))[2:].zfill(60)
+
+
+def split(rows, limit, prefix=""):
+    """Shards by the plain rule: a bucket above the limit splits on its next bit."""
+    if sum(n for _, n in rows) <= limit or len({b for b, _ in rows}) == 1:
+        return {b: prefix for b, _ in rows}
+    out = {}
+    for bit in "01":
+        part = [(b, n) for b, n in rows if b[len(prefix)] == bit]
+        if part:
+            out |= split(part, limit, prefix + bit)
+    return out
+
+
+@pytest.mark.parametrize("limit", [40, 300, 5000, 10**9])
+def test_shards(spark, limit):
+    rows = [(i, "é" * (i % 37)) for i in range(400)] + [(7, "again"), (None, "none"), (None, None), (401, None), (402, ""), (403, "x" * 2000)]
+    df = spark.createDataFrame([(i, t, "old") for i, t in rows], "doc_id long, text string, shard string")
+    found = extendible_shards(df, limit).collect()
+    want = split([(bits(i), len((t or "").encode())) for i, t in rows], limit)
+    assert Counter((r["doc_id"], r["text"]) for r in found) == Counter(rows)
+    sizes, keys = defaultdict(int), defaultdict(set)
+    for r in found:
+        assert r["shard"] == want[bits(r["doc_id"])] and r["shard_depth"] == len(r["shard"]) and r["shard_row_bytes"] == len((r["text"] or "").encode())
+        sizes[r["shard"]] += r["shard_row_bytes"]
+        keys[r["shard"]].add(r["doc_id"])
+    assert all(n <= limit or len(keys[s]) == 1 for s, n in sizes.items())
+
+
+def test_cells_that_need_more_bits(spark):
+    rows = [(i, "x" * (5000 if i < 40 else 1)) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = split([(bits(i), len(t)) for i, t in rows], 5001)
+    assert {r["doc_id"]: r["shard"] for r in extendible_shards(df, 5001, spare_bits=-4).collect()} == {i: want[bits(i)] for i, _ in rows}
+
+
+def test_no_shards(spark):
+    assert extendible_shards(spark.createDataFrame([], "doc_id long, text string"), 10).collect() == []
+
+
+def draws(rate, key, seed="mix-1"):
+    u = int(hashlib.md5(f"{seed}:{'' if key is None else key}".encode()).hexdigest()[:13], 16) / 2**52
+    n, total = 0, math.exp(-rate)
+    while u >= total:
+        n += 1
+        total += math.exp(-rate + n * math.log(rate) - math.lgamma(n + 1))
+    return n
+
+
+def test_mixture(spark):
+    rows = [(i, f"t{i}", "a" if i % 3 else ("b" if i % 2 else None)) for i in range(600)] + [(0, "t0", None), (None, None, "c")]
+    df = spark.createDataFrame([(i, t, s, 5) for i, t, s in rows], "doc_id long, text string, source string, copy int")
+    found = poisson_mixture(df).collect()
+    n = Counter(s or "" for _, _, s in rows)
+    want = Counter()
+    for i, t, s in rows:
+        for c in range(draws(len(rows) / len(n) / n[s or ""], i)):
+            want[(i, t, s, c)] += 1
+    assert Counter((r["doc_id"], r["text"], r["source"], r["copy"]) for r in found) == want
+    assert found == poisson_mixture(df).collect() or sorted(found, key=str) == sorted(poisson_mixture(df).collect(), key=str)
+    keys = [r["shuffle_key"] for r in found]
+    sources = [r["source"] for r in found]
+    assert keys != sorted(keys, key=str) or len(set(sources[:50])) > 1
+
+
+def test_weights(spark):
+    df = spark.createDataFrame([(i, "x", "a" if i < 3000 else "b") for i in range(4000)], "doc_id long, text string, source string")
+    got = Counter(r["source"] for r in poisson_mixture(df, {"a": 1, "b": 3, "z": 9}, total=13000).collect())
+    assert abs(got["a"] - 1000) < 150 and abs(got["b"] - 3000) < 250
+    assert {r["source"] for r in poisson_mixture(df, {"b": 1}).collect()} == {"b"}
+
+
+def test_no_mixture(spark):
+    assert poisson_mixture(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
+
+
+@pytest.mark.parametrize("rate", [0, 0.01, 1, 30, 5000])
+def test_poisson_table(rate):
+    low, table = poisson_table(rate)
+    assert table[-1] == pytest.approx(1) and table == sorted(table)
+    mean = low + sum(1 - x for x in table)
+    assert mean == pytest.approx(rate, abs=1e-6 * max(1, rate))
