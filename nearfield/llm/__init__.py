@@ -1,6 +1,5 @@
 """Operators for large training-data pipelines, one module per operator.
 
 Nothing outside this subpackage imports it, so it can be removed whole.
-Executors import these modules, so the package has to be on their path
-(installed, or shipped with ``--py-files``).
+Executors get these modules by ``nearfield.ship``.
 """

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.textops import LOWER, NON_WORD, U, hash_spans, mix, raw, slices, word_spans
+from nearfield.ship import ship
 
 #: Letters only: digits separate words too.
 GAPS = NON_WORD.copy()
@@ -282,6 +283,7 @@ def identify(docs: DataFrame, trainable: Column, id_column: str = "doc_id", text
     where nothing can be learned. Repeated rows and null ids give a row each;
     other columns are not read.
     """
+    ship(docs.sparkSession)
     named = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"), trainable.alias("ok"))
     texts, labels = training_sample(named, F.col("ok"), per_language, longest)
     model = train(texts, labels)

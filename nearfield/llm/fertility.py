@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.textops import SPACES, U, hash_spans, mix, raw, slices, windows, word_spans
+from nearfield.ship import ship
 
 WINDOW = 8
 CACHED = 150_000
@@ -62,7 +63,7 @@ class Band:
     chars_per_token: tuple[float, float]
     byte_share: float
     entropy: tuple[float, float, float]
-    least_tokens: int = 40
+    least_tokens: int = 80
 
 
 #: By language or script. Wide: a rule rejects what is far from prose, not what is rare.
@@ -253,6 +254,7 @@ def fertility(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     empty table gives none, and other columns are not read. The language is
     null where the table has no such column.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     bands = BANDS | (bands or {})
     held = spark.sparkContext.broadcast({v: open(f"{tokenizers}/{v}", "rb").read() for v in vocabularies})  # noqa: SIM115

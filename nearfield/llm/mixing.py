@@ -46,7 +46,8 @@ def poisson_mixture(docs: DataFrame, weights: dict[str, float] | None = None, to
     """The rows of ``docs``, each as often as drawn, with ``copy`` (from 0), ``n_copies`` and ``shuffle_key``, in an order mixed over all sources.
 
     ``weights``: target share of each source, in any unit; by default every
-    source has the same. Sources that are not named get none. ``total``: the
+    source has the same. Sources that are not named get none, and
+    sources that the table doesn't have take no share. ``total``: the
     expected number of rows; by default as many as there are. A source's rate is
     ``total * share / rows of the source``. A null source is a source like any
     other, named by the empty text. Rows that repeat an id draw the same count;

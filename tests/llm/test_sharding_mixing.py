@@ -78,7 +78,7 @@ def test_mixture(spark):
 def test_weights(spark):
     df = spark.createDataFrame([(i, "x", "a" if i < 3000 else "b") for i in range(4000)], "doc_id long, text string, source string")
     got = Counter(r["source"] for r in poisson_mixture(df, {"a": 1, "b": 3, "z": 9}, total=13000).collect())
-    assert abs(got["a"] - 1000) < 150 and abs(got["b"] - 3000) < 250
+    assert abs(got["a"] - 3250) < 250 and abs(got["b"] - 9750) < 450
     assert {r["source"] for r in poisson_mixture(df, {"b": 1}).collect()} == {"b"}
 
 

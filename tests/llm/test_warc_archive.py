@@ -28,7 +28,7 @@ def plain(rows, least=0):
     return sorted(out, key=str)
 
 
-ROWS = [(5, "http://a/5", "<p>é</p>"), (3, "http://a/3", "<p>é</p>"), (9, None, "<p>é</p>"), (1, "http://a/1", None), (2, "http://a/2\r\nX: y", ""), (4, "u", "long " * 40000), (4, "u", "long " * 40000), (None, "v", "only"), (None, "v", "<p>é</p>")]
+ROWS = [(5, "http://a/5", "<p>é</p>"), (3, "http://a/3", "<p>é</p>"), (9, None, "<p>é</p>"), (1, "http://a/1", None), (2, "http://a/2\r\nX: y", ""), (4, "u", "long " * 40000), (4, "u", "long " * 40000), (None, "v", "only"), (None, "w", "<p>é</p>")]
 
 
 @pytest.mark.parametrize("least", [0, 5])
