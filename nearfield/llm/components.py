@@ -14,10 +14,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     Each round hooks larger neighbours, then smaller ones, to the least
     neighbour, both by grouped minimum and a join, so that no group of
     neighbours is ever collected. Rounds grow with the logarithm of the
-    longest chain. Ids are compared as numbers; a link of an id to itself is
-    allowed and keeps the id.
+    longest chain. Links of an id to itself say nothing.
     """
-    table = scratch.write(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    table = scratch.write(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     while True:
         both = table.union(table.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -29,8 +28,10 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         small = one.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
         two = scratch.write(small, "small")
         scratch.drop(one)
-        # done when no centre hangs from another: each id then has one link, to its centre
-        unstable = two.where("a <> b").join(two.where("a <> b").select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
+        # done when each id has one link, to a centre that has none itself
+        hangs = two.where("a <> b").join(two.where("a <> b").select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a")
+        torn = two.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low < high").select("a")
+        unstable = hangs.union(torn).limit(1).count()
         scratch.drop(table)
         table = two
         if not unstable:

@@ -27,11 +27,6 @@ from nearfield.llm.store import Scratch
 from nearfield.llm.textops import LOWER, NON_WORD, Marks, hash_words, list_array, signed, slices, windows
 
 
-def _seeds(words: np.ndarray, seed: int) -> np.ndarray:
-    """Hashes of all runs of ``seed`` words."""
-    return windows(words, seed)
-
-
 def tile(item: np.ndarray, doc: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
     """Tiles (start in item, start in document, length) of two token arrays, longest first; ties by start in item, then in document."""
     a, b = windows(item, seed), windows(doc, seed)
@@ -73,7 +68,7 @@ def _item_seeds(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.Rec
     for batch in slices(batches, "text"):
         words, first = hash_words(batch.column("text"), NON_WORD, LOWER)
         parts = [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        yield pa.record_batch({"item_id": batch.column("item_id"), "tokens": list_array([signed(p) for p in parts], pa.int64()), "seeds": list_array([signed(np.unique(_seeds(p, seed))) for p in parts], pa.int64())})
+        yield pa.record_batch({"item_id": batch.column("item_id"), "tokens": list_array([signed(p) for p in parts], pa.int64()), "seeds": list_array([signed(np.unique(windows(p, seed))) for p in parts], pa.int64())})
 
 
 def _scan(batches: Iterator[pa.RecordBatch], seed: int, marks) -> Iterator[pa.RecordBatch]:
