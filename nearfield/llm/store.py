@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nearfield.ship import ship
+
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset."""
@@ -17,6 +21,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ready(spark: SparkSession) -> None:
+    """Ships the package, and keeps Arrow batches of whole texts small where the session has Spark's default of 10,000 rows."""
+    ship(spark)
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
+
+
 class Scratch:
     """Written tables of one operator call.
 
@@ -27,6 +38,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ready(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/nearfield-{name}-{uuid.uuid4().hex[:12]}"
         self.made = 0
@@ -39,6 +51,19 @@ class Scratch:
         out._nearfield_path = path
         return out
 
+    def write_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """Like ``write``, in buckets of ``key``, one a shuffle partition: joins of such tables on the key move nothing.
+
+        ``df`` should come from an exchange by the key, so that each bucket is one file.
+        """
+        self.made += 1
+        path, table = f"{self.root}/{self.made:03d}-{name}", f"nearfield_{name}_{uuid.uuid4().hex[:12]}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
+        out = self.spark.table(table)
+        out._nearfield_path = path
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             jvm = self.spark._jvm

@@ -2,7 +2,8 @@
 
 Payload bytes are stored once each, in a table addressed by their SHA-256; the
 exact headers of every record are in another. A digest is verified when a
-payload is stored and again when it is read. Joins of the two tables give back
+payload is read. Both tables are bucketed by address, so that reading moves no
+payload but those of very many records. Joins of the two tables give back
 the records as they would stand in a WARC file.
 """
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from nearfield.llm.store import Scratch
 
 CRLF = "\r\n"
+#: Records of one payload from which they are dealt over SALTS tasks.
+OFTEN, SALTS = 256, 64
 
 
 def base32(hex_text: Column) -> Column:
@@ -38,8 +41,14 @@ class Archive:
 
     def verified(self) -> DataFrame:
         """The payloads, each checked against its address; a wrong one raises an error."""
+        return self._checked(self.payloads)
+
+    def payloads_often(self) -> DataFrame:
+        return self._checked(self.payloads.where("often"))
+
+    def _checked(self, payloads: DataFrame) -> DataFrame:
         right = F.sha2("payload", 256) == F.col("address")
-        return self.payloads.select("address", F.when(right, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))).cast("binary")).alias("payload"))
+        return payloads.select("address", F.when(right, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))).cast("binary")).alias("payload"))
 
     def records(self, whole: bool = True) -> DataFrame:
         """Headers with ``payload`` and ``record``, the bytes of the record.
@@ -47,7 +56,14 @@ class Archive:
         ``whole``: revisit records get back the payload they refer to, as the
         original had it; else they end after their headers, as in the archive.
         """
-        joined = self.headers.join(self.verified(), "address")
+        payloads = self.verified()
+        few, many = self.headers.where("not often"), self.headers.where("often")
+        joined = few.join(payloads, "address")
+        # a payload of many records would be one task's: its records are dealt over salts
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        spread = many.withColumn("salt", F.pmod(F.xxhash64("id", "url", "copy"), F.lit(SALTS)).cast("int"))
+        hot = self.payloads_often().select("*", salts)
+        joined = joined.unionByName(spread.join(hot, ["address", "salt"]).select(joined.columns))
         body = F.col("payload") if whole else F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
         end = F.lit((2 * CRLF).encode())
         return joined.withColumn("record", F.concat("warc_header", "http_header", body, end))
@@ -69,7 +85,7 @@ def write_archive(pages: DataFrame, id_column: str = "page_id", url_column: str
     described = rows.select("id", "url", "address", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n_bytes"))
     known = scratch.write(described.groupBy("id", "url", "address", "sha1", "n_bytes").agg(F.count("*").alias("times")), "known")
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("url").isNull().alias("no_url"), F.col("url"))
-    firsts = known.groupBy("address").agg(F.min(place).alias("first"))
+    firsts = known.groupBy("address").agg(F.min(place).alias("first"), (F.sum("times") >= OFTEN).alias("often"))
     placed = known.join(firsts, "address").withColumn("is_first", F.col("first.id").eqNullSafe(F.col("id")) & F.col("first.url").eqNullSafe(F.col("url")))
     copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
     response = (F.col("n_bytes") < least_bytes) | (F.col("is_first") & (F.col("copy") == 0))
@@ -101,13 +117,11 @@ def write_archive(pages: DataFrame, id_column: str = "page_id", url_column: str
         F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), F.col("payload_digest"), F.lit(CRLF), refers,
         F.lit(f"Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.col("block").cast("string"), F.lit(2 * CRLF),
     )
-    headers = typed.select("id", "url", "copy", "address", "record_type", "n_bytes", F.when(F.col("record_type") == "revisit", F.col("first.id")).alias("refers_to"), F.encode(header, "UTF-8").alias("warc_header"), F.encode("http", "UTF-8").alias("http_header"))
-    headers = scratch.write(headers, "headers")
-    # the payload of each first record, once: other copies' bytes are not moved, since the join drops them before
-    mine = placed.where("is_first").select("address", F.col("id").alias("first_id"), F.col("url").alias("first_url"))
-    stored = rows.join(mine, (rows["address"] == mine["address"]) & rows["id"].eqNullSafe(F.col("first_id")) & rows["url"].eqNullSafe(F.col("first_url"))).select(rows["address"], "payload")
-    repeats = known.where("times > 1").limit(1).count()
-    payloads = scratch.write(stored.dropDuplicates(["address"]) if repeats else stored, "payloads")
+    headers = typed.select("id", "url", "copy", "address", "often", "record_type", "n_bytes", F.when(F.col("record_type") == "revisit", F.col("first.id")).alias("refers_to"), F.encode(header, "UTF-8").alias("warc_header"), F.encode("http", "UTF-8").alias("http_header"))
+    headers = scratch.write_bucketed(headers, "headers", "address")
+    # any record's bytes serve for an address; equal ones are dropped before and after they move
+    stored = rows.select("address", "payload").dropDuplicates(["address"]).join(firsts.select("address", "often"), "address")
+    payloads = scratch.write_bucketed(stored.select("address", "often", "payload"), "payloads", "address")
     scratch.drop(known)
     return Archive(headers, payloads)
 
