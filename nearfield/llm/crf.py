@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.store import ready
 from nearfield.llm.textops import LOWER, NON_WORD, U, hash_spans, mix, raw, slices, word_spans
-from nearfield.ship import ship
 
 #: Letters only: digits separate words too.
 GAPS = NON_WORD.copy()
@@ -194,7 +194,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7, rounds: int = 25,
 class Scorer:
     """Emission scores of words, kept by hash for the words met most: two generations of bounded size."""
 
-    def __init__(self, model: Model, most: int = 200_000):
+    def __init__(self, model: Model, most: int = 100_000):
         self.model, self.most = model, most
         self.keys, self.rows = np.zeros(0, np.uint64), np.zeros((0, len(model.languages)))
 
@@ -206,8 +206,8 @@ class Scorer:
         known = self.keys[place] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
         out[known] = self.rows[place[known]]
         new = np.flatnonzero(~known)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        for i in range(0, len(new), 5_000):
+            part = new[i : i + 5_000]
             found, at = features(buf, starts[where[part]], ends[where[part]], distinct[part])
             size = np.diff(at)
             out[part] = np.add.reduceat(self.model.weights[found], at[:-1], 0) / np.sqrt(size)[:, None]
@@ -225,7 +225,7 @@ def label(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
     model = shared.value
     scorer = Scorer(model)
     names = np.array([*model.languages, "und"], object)
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text"):
         buf, off = raw(batch.column("text"))
         starts, ends, first = word_spans(buf, off, GAPS)
         n = np.diff(first)
@@ -283,7 +283,7 @@ def identify(docs: DataFrame, trainable: Column, id_column: str = "doc_id", text
     where nothing can be learned. Repeated rows and null ids give a row each;
     other columns are not read.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     named = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"), trainable.alias("ok"))
     texts, labels = training_sample(named, F.col("ok"), per_language, longest)
     model = train(texts, labels)

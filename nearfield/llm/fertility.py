@@ -14,20 +14,20 @@ size. The broadcast vocabularies are fixed public files of under 1 MB each.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.store import ready
 from nearfield.llm.textops import SPACES, U, hash_spans, mix, raw, slices, windows, word_spans
-from nearfield.ship import ship
 
 WINDOW = 8
-CACHED = 150_000
+CACHED = 60_000
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[list(b"#*$%&|<>")] = 1
 #: A byte that begins a code point.
@@ -117,13 +117,13 @@ class Ranks:
 
 
 class Cache:
-    """Tokens of words by their hashes: two generations, the older is dropped when the newer is full."""
+    """Tokens of words, packed in two bytes each, by the words' hashes: two generations, the older is dropped when the newer is full."""
 
     def __init__(self, vocabulary):
         self.vocabulary, self.new, self.old = vocabulary, {}, {}
 
-    def tokens(self, keys: list[int], word) -> list[list[int]]:
-        """Tokens of each key; ``word(i)`` is the i-th word as a string."""
+    def tokens(self, keys: list[int], word) -> list[bytes]:
+        """Packed tokens of each key; ``word(i)`` is the i-th word as a string."""
         out, missing = [], []
         new, old = self.new, self.old
         for i, key in enumerate(keys):
@@ -137,8 +137,7 @@ class Cache:
             out.append(got)
         if missing:
             for i, got in zip(missing, self.vocabulary.encode([word(i) for i in missing]), strict=True):
-                out[i] = got
-                new[keys[i]] = got
+                out[i] = new[keys[i]] = struct.pack(f"<{len(got)}H", *got)
         if len(new) > CACHED:
             self.new, self.old = {}, new
         return out
@@ -197,7 +196,7 @@ def _entropy(tokens: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
 
 def measure(batches: Iterator[pa.RecordBatch], vocabularies) -> Iterator[pa.RecordBatch]:
     loaded = [(name.split(".")[0], _load(name, data)) for name, data in vocabularies.value.items()]
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", 1 << 19):
         buf, off = raw(batch.column("text"))
         starts, ends, first = word_spans(buf, off)
         words = hash_spans(buf, starts, ends)
@@ -212,6 +211,7 @@ def measure(batches: Iterator[pa.RecordBatch], vocabularies) -> Iterator[pa.Reco
         script[:, 0] = 0
         cols = {
             "id": batch.column("id"),
+            "lang": batch.column("lang"),
             "n_words": n_words,
             "word_chars": word_chars,
             "n_symbols": per_row(SYMBOLS[buf]),
@@ -225,9 +225,9 @@ def measure(batches: Iterator[pa.RecordBatch], vocabularies) -> Iterator[pa.Reco
         word = lambda i, d=data, s=starts[where], e=ends[where]: d[s[i] : e[i]].decode("utf-8", "replace")
         of_word = np.repeat(np.arange(rows), n_words)
         for name, cache in loaded:
-            lists = cache.tokens(keys, word)
-            size = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((t for x in lists for t in x), np.int64, int(size.sum()))
+            packed = cache.tokens(keys, word)
+            size = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
+            flat = np.frombuffer(b"".join(packed), "<u2").astype(np.int64)
             at = np.concatenate([[0], np.cumsum(size)])
             per_word = size[inverse]
             begin = np.repeat(at[:-1][inverse] - np.concatenate([[0], np.cumsum(per_word)[:-1]]), per_word) if len(inverse) else np.zeros(0, np.int64)
@@ -254,31 +254,24 @@ def fertility(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     empty table gives none, and other columns are not read. The language is
     null where the table has no such column.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     spark = docs.sparkSession
     bands = BANDS | (bands or {})
     held = spark.sparkContext.broadcast({v: open(f"{tokenizers}/{v}", "rb").read() for v in vocabularies})  # noqa: SIM115
     has_lang = lang_column is not None and lang_column in docs.columns
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), (F.col(lang_column).cast("string") if has_lang else F.lit(None).cast("string")).alias("lang"))
     names = [v.split(".")[0] for v in vocabularies]
-    schema = f"id {docs.schema[id_column].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, " + ", ".join(f"{n}_tokens long, {n}_chars_per_token double, {n}_byte_share double, {n}_entropy double" for n in names)
-    per_lang = [x for x in bands if x not in SCRIPTS]
+    schema = f"id {docs.schema[id_column].dataType.simpleString()}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, " + ", ".join(f"{n}_tokens long, {n}_chars_per_token double, {n}_byte_share double, {n}_entropy double" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return measure(batches, held)
 
-    if per_lang:
-        raise_lang = F.when(F.col("lang").isin(per_lang), F.col("lang"))
-        rows = rows.withColumn("lang", raise_lang)
-        measured = rows.where("lang is null").select("id", "text").mapInArrow(run, schema).withColumn("band", F.col("script"))
-        for lang in per_lang:
-            measured = measured.union(rows.where(F.col("lang") == lang).select("id", "text").mapInArrow(run, schema).withColumn("band", F.lit(lang)))
-    else:
-        measured = rows.select("id", "text").mapInArrow(run, schema).withColumn("band", F.col("script"))
+    per_language = [x for x in bands if x not in SCRIPTS]
+    measured = rows.mapInArrow(run, schema).withColumn("band", F.when(F.col("lang").isin(per_language), F.col("lang")).otherwise(F.col("script")) if per_language else F.col("script"))
     v = names[0]
     verdict = F.lit(True)
     for name, band in bands.items():
         inside = (F.col(f"{v}_tokens") < band.least_tokens) | (F.col(f"{v}_chars_per_token").between(*band.chars_per_token) & (F.col(f"{v}_byte_share") <= band.byte_share) & (F.col(f"{v}_entropy") >= F.least(F.lit(band.entropy[2]), band.entropy[0] + band.entropy[1] * F.log2(F.col(f"{v}_tokens") / 128))))
         verdict = F.when(F.col("band") == name, inside).otherwise(verdict)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    return measured.withColumn("base_failed", failed).withColumn("in_band", verdict).withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
+    return measured.withColumn("base_failed", failed).withColumn("in_band", verdict).withColumn("kept", ~F.col("base_failed") & F.col("in_band")).drop("lang")

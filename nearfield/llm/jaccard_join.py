@@ -39,7 +39,7 @@ from nearfield.llm.store import Scratch
 from nearfield.llm.textops import LOWER, SPACES, Marks, U, hash_words, list_array, mix, shingle_set, signed, slices
 
 SEEDS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0))
-HELD = 4 << 20
+HELD = 2 << 20
 CHUNK = 256
 
 

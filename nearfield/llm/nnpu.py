@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.store import ready
 from nearfield.llm.textops import LOWER, NON_WORD, U, hash_words, slices
-from nearfield.ship import ship
 
 BITS = 20
 
@@ -162,7 +162,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column, id_column: s
     Null and empty texts get the score of a text without known words. Repeated
     rows and null ids give a row each; other columns are not read.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), trainable.alias("ok"))
     marked = labels.where(trainable & F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("toxic")).where("toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))

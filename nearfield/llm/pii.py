@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.store import ready
 from nearfield.llm.textops import slices
-from nearfield.ship import ship
 
 KINDS = ("email", "ip", "card", "phone", "iban", "short_card", "ssn", "local_phone")
 BASE = 4
@@ -147,7 +147,7 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     the base spans. Null and empty texts have no spans. Repeated rows and null
     ids give a row each; other columns are not read.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInArrow(_run, f"id {kind}, spans {SPANS}, base_sha256 string")

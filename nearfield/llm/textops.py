@@ -2,8 +2,8 @@
 
 Words are hashed straight from the UTF-8 bytes of a whole Arrow batch: a
 polynomial over the bytes, taken as differences of prefix sums, so that no
-Python object is made per word. Work goes in blocks of about a megabyte cut at
-word ends, which bounds memory for texts of any length.
+Python object is made per word. Work goes in blocks of a quarter megabyte cut
+at word ends, which bounds memory for texts of any length.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 #: ASCII white space: the separators of the words `[^\x20\x09-\x0D]+`.
 SPACES = np.zeros(256, bool)
@@ -127,7 +127,7 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about ``most`` bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:

@@ -59,7 +59,7 @@ def test_bands(spark):
     rows = [(0, PROSE, "en"), (1, "$$ %% ## @@ " * 30, "en"), (2, PROSE, "xx")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r["id"]: r["kept"] for r in fertility(df).collect()} == {0: True, 1: False, 2: True}
-    strict = {"xx": Band((50, 60), 0.0, (0, 0, 0))}
+    strict = {"xx": Band((50, 60), 0.0, (0, 0, 0), 10)}
     assert {r["id"]: r["in_band"] for r in fertility(df, bands=strict).collect()}[2] is False
     assert {r["id"]: r["in_band"] for r in fertility(df, bands=strict).collect()}[0] is True
 
