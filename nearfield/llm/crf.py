@@ -249,7 +249,7 @@ def label(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
 
 
 def training_sample(docs: DataFrame, trainable: Column, per_language: int, longest: int) -> tuple[list[str], list[str]]:
-    """At most ``per_language`` whole texts of each language, of ``longest`` characters at most, chosen by a hash of the text."""
+    """At most ``per_language`` whole texts of each language, of ``longest`` characters at most, chosen by a hash of id and text."""
     usable = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
@@ -257,8 +257,8 @@ def training_sample(docs: DataFrame, trainable: Column, per_language: int, longe
     span = 1 << 30
     keep = F.lit(False)
     for lang, n in counts.items():
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(span)) < int(span * min(1.0, 1.2 * per_language / n))))
-    rows = usable.where(keep).select("lang", "text").toArrow()
+        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("id", "text"), F.lit(span)) < int(span * min(1.0, 1.2 * per_language / n))))
+    rows = usable.where(keep).select("lang", "text").limit(3 * per_language * len(counts)).toArrow()
     held: dict[str, list[str]] = {}
     for lang, text in sorted(zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), strict=True)):
         held.setdefault(lang, []).append(text)

@@ -139,12 +139,12 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 
 
 def sample(rows: DataFrame, most: int) -> list[str]:
-    """At most ``most`` texts chosen by a hash of the text; all if there are fewer."""
+    """At most ``most`` texts chosen by a hash of id and text; all if there are fewer. The driver gets three times as many at most."""
     n = rows.count()
     if not n:
         return []
     span = 1 << 30
-    kept = rows.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(span)) < int(span * min(1.0, 1.1 * most / n)))
+    kept = rows.where(F.pmod(F.xxhash64("id", "text", F.lit(17)), F.lit(span)) < int(span * min(1.0, 1.1 * most / n))).select("text").limit(3 * most)
     texts = sorted(kept.toArrow()["text"].to_pylist())
     if len(texts) > most:
         texts = [texts[i] for i in sorted(np.random.default_rng(3).choice(len(texts), most, replace=False))]
@@ -169,8 +169,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column, id_column: s
     if prior is None:
         prior = marked.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
     short = rows.where((F.length("text") <= longest) & (F.length("text") > 0))
-    toxic = sample(short.where("ok").join(marked.where("toxic = 1").select("id"), "id", "left_semi").select("text"), most_toxic)
-    model = train(toxic, sample(short.select("text"), most_unlabelled), prior)
+    toxic = sample(short.where("ok").join(marked.where("toxic = 1").select("id"), "id", "left_semi").select("id", "text"), most_toxic)
+    model = train(toxic, sample(short.select("id", "text"), most_unlabelled), prior)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
