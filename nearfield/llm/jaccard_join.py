@@ -41,6 +41,7 @@ from nearfield.llm.textops import LOWER, SPACES, Marks, U, hash_words, list_arra
 SEEDS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0))
 HELD = 2 << 20
 CHUNK = 256
+WIDEST = (1 << 24) - 1
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
@@ -164,11 +165,15 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     same = scratch.write(full.groupBy("n", "print1", "print2").agg(F.min("id").alias("rep")), "same")
     rep = same.select(F.col("rep").alias("id"), "n").distinct()
     lead = full.join(rep, ["id", "n"], "left_semi")
-    rows = lead.select("id", F.col("n").cast("int").alias("n"), "rare", F.posexplode("first").alias("at", "token"))
-    groups = rows.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("rare", "id", "n", "at")).alias("lead")).where("m > 1").select("token", "lead")
+    # how few tokens are rare (for the choice of the leader), size and position in one number; the last two say nothing at WIDEST
+    described = F.call_function("shiftleft", F.least(F.col("rare"), F.lit(0x7FFF)).cast("long"), F.lit(48)) + F.call_function("shiftleft", F.least(F.col("n"), F.lit(WIDEST)).cast("long"), F.lit(24)) + F.least(F.col("at"), F.lit(WIDEST))
+    rows = lead.select("id", "n", "rare", F.posexplode("first").alias("at", "token")).select("token", "id", described.alias("described"))
+    groups = rows.groupBy("token").agg(F.min(F.struct("described", "id")).alias("lead"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("token", "lead")
+    read = lambda c: (F.shiftright(c, 24).bitwiseAND(WIDEST).cast("int"), c.bitwiseAND(WIDEST).cast("int"))
+    (n, at), (other_n, other_at) = read(F.col("described")), read(F.col("lead.described"))
     # sizes, and what may follow the first shared token: a pair's first one passes if the pair reaches the similarity
-    fits = f"least(n, other_n) * {den} >= greatest(n, other_n) * {num} and least(n - at, other_n - other_at) * {num + den} >= {num} * (n + other_n)"
-    members = scratch.write(rows.join(groups, "token").select("token", "id", "n", "at", F.col("lead.id").alias("other"), F.col("lead.n").alias("other_n"), F.col("lead.at").alias("other_at")), "members")
+    fits = f"(greatest(n, other_n) = {WIDEST} or least(n, other_n) * {den}L >= greatest(n, other_n) * {num}L and least(n - at, other_n - other_at) * {num + den}L >= {num}L * (n + other_n))"
+    members = scratch.write(rows.join(groups, "token").select("token", "id", n.alias("n"), at.alias("at"), F.col("lead.id").alias("other"), other_n.alias("other_n"), other_at.alias("other_at")), "members")
     pairs = members.where("id <> other").where(fits).select(F.col("other").alias("a"), F.col("id").alias("b")).distinct()
 
     def filtered(pairs: DataFrame) -> DataFrame:
