@@ -136,13 +136,14 @@ def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"hash": batch.column("hash"), "ok": pa.array(out, pa.bool_())})
 
 
-def duplicate_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 10, bitmap_bits: int = 25) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 4, bitmap_bits: int = 25) -> DataFrame:
     """``id, number, exact, near``: one row for each line that has a word, with its number from 0 in its text.
 
     ``exact``: an earlier line, by (id, number), has the same words (white space
     aside). ``near``: the line has ``least_words`` words or more and an earlier
     line of other words, of ``least_words`` or more, is one word inserted,
-    deleted or replaced away. Lines that are neither are the earliest and are
+    deleted or replaced away; so one word of ``least_words`` is the largest
+    share of a line that may differ. Lines that are neither are the earliest and are
     kept. Rows without an id or a text have no lines; rows that repeat an id and
     a text are one; an empty table gives none. Other columns are not read.
     """

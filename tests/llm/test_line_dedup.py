@@ -54,6 +54,13 @@ def test_template_with_many_variants(spark):
     held(spark, [(i, f"page {i % 150} of the very long report\nsame line in all of them") for i in range(200)])
 
 
+def test_short_lines_by_default(spark):
+    ten = " ".join(f"t{i}" for i in range(10))
+    rows = [(1, "copyright 2019 the river company"), (2, "copyright 2020 the river company"), (3, ten), (4, ten[:-3]), (5, "menu for monday evening"), (6, "menu for sunday evening"), (7, "page one here"), (8, "page two here")]
+    df = spark.createDataFrame([(i, t, False) for i, t in rows], SCHEMA)
+    assert {r["id"] for r in duplicate_lines(df).where("near").collect()} == {2, 4, 6}
+
+
 def test_odd_rows(spark):
     long = " ".join(f"t{i}" for i in range(20000))
     rows = [(1, None), (2, ""), (3, "\n\n \n"), (4, "a b c d e\r\nA b c d e"), (5, " a  b\tc d e \n\nx"), (6, long), (7, long + " more"), (8, "short"), (9, "short"), (None, "a b c d e"), (4, "a b c d e\r\nA b c d e")]
