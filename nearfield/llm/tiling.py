@@ -68,7 +68,8 @@ def _item_seeds(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.Rec
     for batch in slices(batches, "text"):
         words, first = hash_words(batch.column("text"), NON_WORD, LOWER)
         parts = [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        yield pa.record_batch({"item_id": batch.column("item_id"), "tokens": list_array([signed(p) for p in parts], pa.int64()), "seeds": list_array([signed(np.unique(windows(p, seed))) for p in parts], pa.int64())})
+        keys, times = zip(*(np.unique(windows(p, seed), return_counts=True) for p in parts), strict=True)
+        yield pa.record_batch({"item_id": batch.column("item_id"), "tokens": list_array([signed(p) for p in parts], pa.int64()), "seeds": list_array([signed(k) for k in keys], pa.int64()), "times": list_array(times, pa.int64())})
 
 
 def _scan(batches: Iterator[pa.RecordBatch], seed: int, marks) -> Iterator[pa.RecordBatch]:
@@ -116,15 +117,15 @@ def tilings(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", te
     """
     scratch = Scratch(docs.sparkSession, "tiling")
     items = benchmark.select(F.col(item_column).cast("long").alias("item_id"), F.col(item_text_column).cast("string").alias("text")).where("item_id is not null and text is not null")
-    items = scratch.write(items.mapInArrow(partial(_item_seeds, seed=seed), "item_id long, tokens array<long>, seeds array<long>").where(F.size("tokens") >= seed).distinct(), "items")
-    seeds = items.select("item_id", F.size("tokens").alias("n"), F.explode("seeds").alias("key"))
+    items = scratch.write(items.mapInArrow(partial(_item_seeds, seed=seed), "item_id long, tokens array<long>, seeds array<long>, times array<long>").where(F.size("tokens") >= seed).distinct(), "items")
+    seeds = items.select("item_id", F.size("tokens").alias("n"), F.explode(F.arrays_zip("seeds", "times")).alias("s")).select("item_id", "n", F.col("s.seeds").alias("key"), F.col("s.times").alias("times"))
     marks = docs.sparkSession.sparkContext.broadcast(Marks.of(seeds.select("key"), "key", bitmap_bits))
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null and text is not null")
     hits = scratch.write(rows.mapInArrow(partial(_scan, seed=seed, marks=marks), "id long, seeds array<long>, tokens array<long>"), "hits")
     # one text of an id is told from another by its hash
     hits = hits.withColumn("which", F.xxhash64("tokens"))
-    shared = hits.select("id", "which", F.explode("seeds").alias("key")).join(seeds, "key").groupBy("id", "which", "item_id", "n").agg(F.countDistinct("key").alias("found"))
-    # each seed found covers at most seed tokens, so fewer can't reach the bound
+    shared = hits.select("id", "which", F.explode("seeds").alias("key")).join(seeds, "key").groupBy("id", "which", "item_id", "n", "key").agg(F.max("times").alias("times")).groupBy("id", "which", "item_id", "n").agg(F.sum("times").alias("found"))
+    # each place of the item where a seed found begins covers at most seed tokens, so fewer can't reach the bound
     pairs = shared.where(F.col("found") * seed * 100 >= F.col("n") * percent).select("id", "which", "item_id")
     texts = hits.select("id", "which", F.col("tokens").alias("doc_tokens")).dropDuplicates(["id", "which"])
     both = pairs.join(texts, ["id", "which"]).join(items.select("item_id", F.col("tokens").alias("item_tokens")), "item_id").select("id", "item_id", "doc_tokens", "item_tokens")

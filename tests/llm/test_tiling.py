@@ -81,6 +81,12 @@ def test_reordered_sentences_are_caught_and_clean_ones_left(spark):
     assert {r["id"]: r["contaminated"] for r in contamination(df, bench).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_item_that_repeats_a_phrase(spark):
+    bench = spark.createDataFrame([(1, "yes no " * 20)], "item_id long, text string")
+    df = spark.createDataFrame([(1, "so " + "yes no " * 20 + "then", 0), (2, "yes no " * 4, 0)], SCHEMA)
+    assert {r["id"]: r["coverage"] for r in contamination(df, bench).collect()} == {1: 1.0, 2: 0.0}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 0)], SCHEMA)
     none = spark.createDataFrame([], "item_id long, text string")
