@@ -64,6 +64,14 @@ def test_bands(spark):
     assert {r["id"]: r["in_band"] for r in fertility(df, bands=strict).collect()}[0] is True
 
 
+def test_bands_of_short_texts(spark):
+    words = "the of and to in for is on that by this with you it not or be are from at as your all have new more an was we will".split()
+    df = spark.createDataFrame([(1, " ".join(f"{w} {w}" for w in words), "en"), (2, PROSE, "en")], "doc_id long, text string, lang string")
+    found = {r["id"]: r for r in fertility(df).collect()}
+    assert 40 <= found[1]["piece_bpe_32k_tokens"] < 80 and not found[1]["base_failed"]
+    assert {i: r["kept"] for i, r in found.items()} == {1: False, 2: True}
+
+
 def test_empty_and_no_language(spark):
     assert fertility(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert fertility(spark.createDataFrame([(1, PROSE)], "doc_id long, text string")).first()["kept"] is True
