@@ -11,7 +11,7 @@ from nearfield.llm import sql
 from nearfield.llm.crf import identify
 from nearfield.llm.fertility import fertility
 from nearfield.llm.jaccard_join import jaccard_components
-from nearfield.llm.line_dedup import duplicate_lines
+from nearfield.llm.line_dedup import line_counts
 from nearfield.llm.mixing import poisson_mixture
 from nearfield.llm.nnpu import toxicity
 from nearfield.llm.pii import BASE, KINDS, personal_data
@@ -75,10 +75,8 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each document with lines: how many there are, and how many are copies or near copies of earlier ones."""
-    lines = duplicate_lines(table(spark, sf_dir, "documents"))
-    ones = lambda c: F.sum(F.expr(c).cast("long"))
-    return lines.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_lines"), ones("exact").alias("n_exact"), ones("near and not exact").alias("n_near"), F.sum(F.when(~F.col("exact") & ~F.col("near"), F.col("number") + 1).otherwise(0)).alias("kept_places"))
+    """For each document: how many lines it has, how many are copies or near copies of earlier ones, and which are kept."""
+    return line_counts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op10_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_extendible_hashing": sql.extendible_hashing(SHARD_BYTES), "op6_warc_archive": sql.WARC, "op8_ngram_jaccard_join": sql.JACCARD, "op10_poisson_mixture": sql.MIXTURE}
+    return {"op5_extendible_hashing": sql.extendible_hashing(SHARD_BYTES), "op6_warc_archive": sql.WARC, "op8_ngram_jaccard_join": sql.JACCARD, "op9_line_dedup": sql.LINES, "op10_poisson_mixture": sql.MIXTURE}

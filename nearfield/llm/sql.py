@@ -81,3 +81,30 @@ SELECT doc_id, source, copy, n AS n_copies,
        md5(text) AS text_md5
 FROM x
 """
+
+LINES = r"""
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
+l AS (
+  SELECT doc_id, number, [x for x in string_split_regex(line, '[ \t\r\f\x0B]+') if x <> ''] AS w
+  FROM (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS number FROM t)),
+q AS (
+  SELECT doc_id, number, doc_id * 10000000 + number AS p, len(w) < 4 AS short,
+         CASE WHEN len(w) < 4 THEN regexp_extract_all(array_to_string(w, ' '), '(?s).') ELSE w END AS s
+  FROM l WHERE len(w) > 0),
+k AS (SELECT *, array_to_string(s, chr(31)) AS whole FROM q),
+f AS (SELECT short, whole, any_value(s) AS s, min(p) AS p FROM k GROUP BY short, whole),
+v AS (
+  SELECT short, whole, p, i, array_to_string(list_concat(s[:i - 1], s[i + 1:]), chr(31)) AS rest
+  FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM f)),
+near AS (
+  SELECT short, whole FROM (SELECT *, min(p) OVER (PARTITION BY short, rest, i) AS m FROM v) WHERE m < p
+  UNION SELECT v.short, v.whole FROM v JOIN f ON v.short = f.short AND v.rest = f.whole WHERE f.p < v.p
+  UNION SELECT f.short, f.whole FROM v JOIN f ON v.short = f.short AND v.rest = f.whole WHERE v.p < f.p),
+e AS (
+  SELECT k.doc_id, k.number, f.p < k.p AS exact, n.whole IS NOT NULL AS near
+  FROM k JOIN f ON k.short = f.short AND k.whole = f.whole LEFT JOIN near n ON k.short = n.short AND k.whole = n.whole)
+SELECT d.doc_id, count(e.number)::BIGINT AS n_lines, count(e.number) FILTER (WHERE exact)::BIGINT AS n_exact,
+       count(e.number) FILTER (WHERE near AND NOT exact)::BIGINT AS n_near,
+       coalesce(sum(CASE WHEN exact OR near THEN 0 ELSE number + 1 END), 0)::BIGINT AS kept_places
+FROM documents d LEFT JOIN e USING (doc_id) GROUP BY d.doc_id
+"""

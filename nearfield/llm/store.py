@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nearfield.ship import ship
 
@@ -28,6 +29,24 @@ def ready(spark: SparkSession) -> None:
         spark.conf.set(BATCH_ROWS, "1000")
 
 
+#: A key with more than one in so many rows is joined by a broadcast; there are fewer than that of such keys.
+HEAVY = 1000
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, on: list[str], times: str) -> DataFrame:
+    """Inner join of ``rows`` with a table of one row a key, whose column ``times`` says how many of the rows have the key.
+
+    Keys that more than one in ``HEAVY`` of the rows have are broadcast, and
+    there are less than ``HEAVY`` of them whatever the size of the tables; so no
+    key's rows all go to one task. ``times`` is dropped. Both are written tables.
+    """
+    total = unique.agg(F.sum(times)).first()[0] or 0
+    heavy = F.col(times) * HEAVY > F.lit(total)
+    few = F.broadcast(unique.where(heavy).drop(times))
+    rest = rows.join(F.broadcast(unique.where(heavy).select(on)), on, "left_anti")
+    return rows.join(few, on).unionByName(rest.join(unique.where(~heavy).drop(times), on))
+
+
 class Scratch:
     """Written tables of one operator call.
 

@@ -31,6 +31,10 @@ LOWER = SAME.copy()
 LOWER[65:91] += 32
 
 
+#: The character that ends a line; no word has it.
+POINT_BREAK = 10
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     with np.errstate(over="ignore"):
@@ -140,6 +144,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             i = j
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``most`` elements of a list column, one row at least."""
+    for batch in batches:
+        off = np.concatenate([[0], np.cumsum(batch.column(column).value_lengths().to_numpy(zero_copy_only=False))])
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     off = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) for p in parts], out=off[1:])
@@ -148,14 +163,23 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 class Marks:
-    """A set of 64-bit keys as a bitmap of fixed size: never misses a member, may hold others.
+    """A set of 64-bit keys as a bitmap of bounded size: never misses a member, may hold others.
 
-    Its size is a parameter and not a function of the data, so it may be broadcast.
+    It thins out what is joined with the keys themselves, so that a full one
+    costs time and no result. Its size has a bound, so it may be broadcast.
     """
 
+    #: Bits of the largest bitmap, as a power of two: 32 MB.
+    MOST_BITS = 28
+
     def __init__(self, words: np.ndarray, bits: int):
         self.words, self.bits = words, bits
 
+    @classmethod
+    def sized(cls, keys: DataFrame, column: str) -> Marks:
+        """Of a written table of keys, with 32 bits a key or more, as far as ``MOST_BITS`` goes."""
+        return cls.of(keys, column, min(cls.MOST_BITS, max(16, (32 * keys.count()).bit_length())))
+
     @classmethod
     def of(cls, keys: DataFrame, column: str, bits: int = 25) -> Marks:
         """From a column of keys that were hashed already. At most 2^(bits-6) rows reach the driver."""
