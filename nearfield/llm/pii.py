@@ -8,6 +8,7 @@ kept only if their score, moved by the words around them, reaches a bound.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -25,10 +26,10 @@ BASE = 4
 
 # fixed values: the patterns of the base kinds
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # the method's own
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])")
@@ -98,14 +99,57 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of ``[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)`` with parts of at most 255.
+
+    Such a match begins where digits and dots begin, or after four parts, so
+    stretches of parts are read once; the pattern itself tries every digit of a
+    long number.
+    """
+    for m in DOTTED.finditer(text):
+        parts = m[0].split(".")
+        at = m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(x := p.lstrip("0")) <= 3 and int(x or "0") <= 255 for p in four):
+                yield at, end
+            at = end + 1
+
+
+class Taken:
+    """Spans that are taken, to see what overlaps them."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends, self.far = [], [], []
+        for a, b in sorted(spans):
+            self.starts.append(a)
+            self.ends.append(b)
+            self.far.append(max(b, self.far[-1] if self.far else b))
+
+    def free(self, start: int, end: int, around: bool = False) -> bool:
+        """Whether no span overlaps start to end; with ``around``, but for spans that lie within."""
+        i = bisect.bisect_left(self.starts, end) - 1
+        while i >= 0 and self.far[i] > start:
+            if self.ends[i] > start and not (around and start <= self.starts[i] and self.ends[i] <= end):
+                return False
+            i -= 1
+        return True
+
+
 def find(text: str) -> list[Span]:
-    """All spans of a text, by start and then kind; ends are exclusive, in code points."""
+    """All spans of a text, by start and then kind; ends are exclusive, in code points.
+
+    A span of the other kinds doesn't overlap one of the base; only an IBAN may
+    have some within it, since its digits can look like a card's.
+    """
     out: list[tuple[str, int, int]] = []
     if "@" in text:
         out += [("email", a, b) for a, b in emails(text)]
     if DIGITS.search(text):
         if "." in text:
-            out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(x := p.lstrip("0")) <= 3 and int(x or "0") <= 255 for p in m[0].split("."))]
+            out += [("ip", a, b) for a, b in addresses(text)]
+        short = []
         for m in CARD.finditer(text):
             if m.end() - m.start() < 12:
                 continue
@@ -113,12 +157,13 @@ def find(text: str) -> list[Span]:
             if 14 <= len(digits) <= 19 and luhn(digits):
                 out.append(("card", m.start(), m.end()))
             elif 12 <= len(digits) <= 13 and luhn(digits):
-                out.append(("short_card", m.start(), m.end()))
+                short.append(("short_card", m.start(), m.end()))
         if "+" in text:
             out += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 10 <= sum(c in "0123456789" for c in m[0]) <= 15]
-        base = [(a, b) for _, a, b in out if _ in KINDS[:BASE]]
-        free = lambda m: not any(a < m.end() and m.start() < b for a, b in base)
-        out += [("iban", m.start(), m.end()) for m in IBAN.finditer(text) if mod97(m[0])]
+        taken = Taken([(a, b) for _, a, b in out])
+        free = lambda m: taken.free(m.start(), m.end())
+        out += [s for s in short if taken.free(*s[1:])]
+        out += [("iban", m.start(), m.end()) for m in IBAN.finditer(text) if mod97(m[0]) and taken.free(m.start(), m.end(), True)]
         if "-" in text:
             out += [("ssn", m.start(), m.end()) for m in SSN.finditer(text) if free(m) and m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"]
         out += [("local_phone", m.start(), m.end()) for m in LOCAL.finditer(text) if free(m)]

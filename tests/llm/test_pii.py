@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,6 +30,23 @@ def test_validators():
     assert mod97("GB82 WEST 1234 5698 7654 32") and mod97("DE89370400440532013000") and not mod97("GB82 WEST 1234 5698 7654 33") and not mod97("GB82")
 
 
+def test_long_numbers_take_linear_time():
+    began = time.perf_counter()
+    assert find("7" * 1_000_000 + " 10.0.0.1 1.2.3.4.5.6.7.8.9") == find(" " * 1_000_000 + " 10.0.0.1 1.2.3.4.5.6.7.8.9")
+    assert [(s.start, s.end) for s in find("1.2.3.4.5.6.7.8.9.300.1.1.1")] == [(0, 7), (8, 15)]
+    assert time.perf_counter() - began < 5
+
+
+def test_other_kinds_leave_base_spans_alone():
+    assert kinds("credit card +49 151 0000 0004") == ["phone"]
+    text = "iban account DE89 3704 0044 0532 0130 00"
+    assert kinds(text) == ["iban"]
+    for text in ("iban GB33 BUKB 2020 1555 5555 55", "credit card 4222 2222 2222 2 call +1 743 555 3824", "visa 10.0.0.1 4222222222222"):
+        spans = find(text)
+        base = [s for s in spans if KINDS.index(s.kind) < BASE]
+        assert all(b.end <= s.start or s.end <= b.start or s.kind == "iban" and s.start <= b.start and b.end <= s.end for s in spans if s not in base for b in base)
+
+
 def kinds(text):
     return [s.kind for s in find(text)]
 
