@@ -28,45 +28,43 @@ from nearfield.llm.textops import LOWER, NON_WORD, U, hash_spans, mix, raw, slic
 GAPS = NON_WORD.copy()
 GAPS[48:58] = True
 ASCII_LETTER = ~GAPS & (np.arange(256) < 128)
-LONGEST = 24
 FEATURE_BITS = 17
+#: Bytes of the n-grams.
+GRAMS = (2, 3, 4)
+#: Bytes of words that are described at a time, one word at least.
+DESCRIBED = 1 << 16
 
 
 def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of words, flat, and where each word's begin.
 
-    Of a word between two marks, over bytes after lower-casing: the word
-    (lexicon), prefixes and suffixes of 1 to 3 bytes (with the marks), and
-    n-grams of 2 to 4 bytes. N-grams are taken from the first and last
-    ``LONGEST`` bytes of longer words.
+    Of a word between two marks, over all its bytes after lower-casing: the
+    word (lexicon), prefixes and suffixes of 1 to 3 bytes (with the marks), and
+    n-grams of 2 to 4 bytes.
     """
     n = len(starts)
     if not n:
         return np.zeros(0, np.int64), np.zeros(1, np.int64)
-    size = np.minimum(ends - starts, LONGEST)
-    grid = np.zeros((n, LONGEST + 2), np.uint64)
-    grid[:, 0] = 1
-    cell = np.arange(LONGEST)
-    # a longer word is its first and last half of LONGEST bytes
-    long = (ends - starts) > LONGEST
-    place = starts[:, None] + cell[None, :]
-    place = np.where(long[:, None] & (cell[None, :] >= LONGEST // 2), ends[:, None] - LONGEST + cell[None, :], place)
-    inside = cell[None, :] < size[:, None]
-    grid[:, 1:-1] = np.where(inside, LOWER[buf[np.where(inside, place, 0)]].astype(np.uint64) + U(2), U(0))
-    grid[np.arange(n), size + 1] = 1
-    out = [words[:, None]]
-    ok = [np.ones((n, 1), bool)]
-    width = size + 2
+    width = ends - starts + 2
+    begin = np.cumsum(width) - width
+    of = np.repeat(np.arange(n), width)
+    place = np.arange(len(of)) - begin[of]
+    marked = (place == 0) | (place == width[of] - 1)
+    flat = np.where(marked, U(1), LOWER[buf[np.where(marked, 0, starts[of] + place - 1)]].astype(U) + U(2))
+    count = 1 + sum(np.maximum(0, width - g + 1) for g in GRAMS)
+    at = np.concatenate([[0], np.cumsum(count)])
+    out = np.empty(at[-1], np.int64)
+    out[at[:-1]] = (words >> U(64 - FEATURE_BITS)).astype(np.int64)
+    after = at[:-1] + 1
     with np.errstate(over="ignore"):
-        for g in (2, 3, 4):
-            total = np.zeros((n, LONGEST + 3 - g), np.uint64)
+        for g in GRAMS:
+            total = np.zeros(max(0, len(flat) - g + 1), U)
             for i in range(g):
-                total = total * U(257) + grid[:, i : i + LONGEST + 3 - g]
-            out.append(mix(total + U(g << 50)))
-            ok.append(np.arange(LONGEST + 3 - g)[None, :] + g <= width[:, None])
-    keys, kept = np.concatenate(out, 1), np.concatenate(ok, 1)
-    at = np.concatenate([[0], np.cumsum(kept.sum(1))])
-    return (keys[kept] >> U(64 - FEATURE_BITS)).astype(np.int64), at
+                total = total * U(257) + flat[i : i + len(total)]
+            inside = np.flatnonzero(place[: len(total)] + g <= width[of[: len(total)]])
+            out[after[of[inside]] + place[inside]] = (mix(total[inside] + U(g << 50)) >> U(64 - FEATURE_BITS)).astype(np.int64)
+            after = after + np.maximum(0, width - g + 1)
+    return out, at
 
 
 @dataclass
@@ -206,8 +204,12 @@ class Scorer:
         known = self.keys[place] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
         out[known] = self.rows[place[known]]
         new = np.flatnonzero(~known)
-        for i in range(0, len(new), 5_000):
-            part = new[i : i + 5_000]
+        total = np.concatenate([[0], np.cumsum(ends[where[new]] - starts[where[new]])])
+        i = 0
+        while i < len(new):
+            j = max(i + 1, int(np.searchsorted(total, total[i] + DESCRIBED, "right")) - 1)
+            part = new[i:j]
+            i = j
             found, at = features(buf, starts[where[part]], ends[where[part]], distinct[part])
             size = np.diff(at)
             out[part] = np.add.reduceat(self.model.weights[found], at[:-1], 0) / np.sqrt(size)[:, None]
@@ -248,9 +250,15 @@ def label(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
         yield pa.record_batch({"id": batch.column("id"), "lang_pred": pa.array(names[np.where(n > 0, best, len(model.languages))].tolist(), pa.string()), "score": np.clip(share, 0, 1), "n_switches": switches.astype(np.int64)})
 
 
+def stretch(text: str, key: Column, longest: int) -> Column:
+    """A text, or of a longer one ``longest`` characters from a place that a hash says."""
+    spare = F.length(text) - longest
+    return F.when(spare <= 0, F.col(text)).otherwise(F.substring(F.col(text), (F.pmod(key, spare + 1) + 1).cast("int"), F.lit(longest)))
+
+
 def training_sample(docs: DataFrame, trainable: Column, per_language: int, longest: int) -> tuple[list[str], list[str]]:
-    """At most ``per_language`` whole texts of each language, of ``longest`` characters at most, chosen by a hash of id and text."""
-    usable = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
+    """At most ``per_language`` texts of each language, chosen by a hash of id and text; of those longer than ``longest`` characters a stretch."""
+    usable = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
         return [], []
@@ -258,7 +266,7 @@ def training_sample(docs: DataFrame, trainable: Column, per_language: int, longe
     keep = F.lit(False)
     for lang, n in counts.items():
         keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("id", "text"), F.lit(span)) < int(span * min(1.0, 1.2 * per_language / n))))
-    rows = usable.where(keep).select("lang", "text").limit(3 * per_language * len(counts)).toArrow()
+    rows = usable.where(keep).select("lang", stretch("text", F.xxhash64("id", "text", F.lit(5)), longest).alias("text")).limit(3 * per_language * len(counts)).toArrow()
     held: dict[str, list[str]] = {}
     for lang, text in sorted(zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), strict=True)):
         held.setdefault(lang, []).append(text)
@@ -275,8 +283,8 @@ def identify(docs: DataFrame, trainable: Column, id_column: str = "doc_id", text
     """``id, lang_pred, score, n_switches``: one row for each row of ``docs``.
 
     The model learns from at most ``per_language`` rows of each language for
-    which ``trainable`` holds, with texts of at most ``longest`` characters;
-    prediction reads the whole text and nothing else. ``score`` is the share of
+    which ``trainable`` holds; of a text of more than ``longest`` characters, from
+    that many at a hashed place. Prediction reads the whole text and nothing else. ``score`` is the share of
     the text's words, by forward-backward, that are in the predicted language;
     ``n_switches`` the changes of the likeliest label from word to word. A text
     that is null or has no letter is ``und`` with score 0; so is every text

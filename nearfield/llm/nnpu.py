@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.crf import stretch
 from nearfield.llm.store import ready
 from nearfield.llm.textops import LOWER, NON_WORD, U, hash_words, slices
 
@@ -156,7 +157,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column, id_column: s
 
     Learns from at most ``most_toxic`` texts labelled toxic, for which
     ``trainable`` (over the id column) holds, and at most ``most_unlabelled``
-    texts without regard to labels, each of ``longest`` characters at most.
+    texts without regard to labels; of a text of more than ``longest``
+    characters, from that many at a hashed place.
     ``prior`` is the class prior; by default the share of toxic among the
     trainable labelled rows. Without toxic examples every score is the same.
     Null and empty texts get the score of a text without known words. Repeated
@@ -168,7 +170,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column, id_column: s
     marked = labels.where(trainable & F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("toxic")).where("toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
         prior = marked.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    short = rows.where((F.length("text") <= longest) & (F.length("text") > 0))
+    short = rows.where(F.length("text") > 0).withColumn("text", stretch("text", F.xxhash64("id", "text", F.lit(5)), longest))
     toxic = sample(short.where("ok").join(marked.where("toxic = 1").select("id"), "id", "left_semi").select("id", "text"), most_toxic)
     model = train(toxic, sample(short.select("id", "text"), most_unlabelled), prior)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -1,9 +1,11 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from nearfield.llm.crf import Model, identify, marginals
+from nearfield.llm.crf import FEATURE_BITS, GAPS, Model, features, identify, marginals
+from nearfield.llm.textops import LOWER, U, hash_spans, mix, raw, word_spans
 
 WORDS = {
     "en": "the and of that with which there their would about people through water house night light".split(),
@@ -41,6 +43,29 @@ def test_forward_backward_is_exact():
     assert np.allclose(marginals(np.zeros((0, k)), np.array([0, 0, 0]), model)[1], 0)
 
 
+def test_features_are_all_ngrams_of_the_whole_word():
+    texts = ["a ab Straße", "x" * 40 + "y", "一" * 30 + " é", "thequickbrownfoxjumpsoverthelazydogagain", "", "thequickbrownfoxJUMPEDoverthelazydogagain"]
+    buf, off = raw(pa.array(texts))
+    starts, ends, _ = word_spans(buf, off, GAPS)
+    keys = hash_spans(buf, starts, ends, LOWER)
+    found, at = features(buf, starts, ends, keys)
+    cut = lambda x: int(mix(np.array([x], U))[0] >> U(64 - FEATURE_BITS))
+    for i, (s, e) in enumerate(zip(starts, ends)):
+        w = [1, *(int(LOWER[b]) + 2 for b in buf[s:e]), 1]
+        want = [int(keys[i] >> U(64 - FEATURE_BITS))]
+        for g in (2, 3, 4):
+            want += [cut((sum(x * 257 ** (g - 1 - k) for k, x in enumerate(w[j : j + g])) + (g << 50)) % 2**64) for j in range(len(w) - g + 1)]
+        assert found[at[i] : at[i + 1]].tolist() == want
+    assert set(found[at[-3] : at[-2]].tolist()) != set(found[at[-2] : at[-1]].tolist())
+
+
+def test_long_texts_train_too(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(WORDS[lang], 3000)), lang) for i, lang in enumerate(["en", "de"] * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {(r["id"] % 2, r["lang_pred"]) for r in identify(df, F.lit(True), longest=500).collect()} == {(0, "en"), (1, "de")}
+
+
 def test_held_out_accuracy_and_switches(spark):
     df = spark.createDataFrame(rows(1, 300), "doc_id long, text string, lang string, source string")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
