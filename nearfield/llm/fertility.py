@@ -20,14 +20,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.store import ready
 from nearfield.llm.textops import SPACES, U, hash_spans, mix, raw, slices, windows, word_spans
 
 WINDOW = 8
-CACHED = 60_000
+#: Bytes of tokens that a worker keeps for a vocabulary in each of two generations, and what an entry takes beside its tokens.
+CACHED, ENTRY = 12 << 20, 180
+#: Tokens from which on a band holds as it stands.
+SETTLED = 40
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[list(b"#*$%&|<>")] = 1
 #: A byte that begins a code point.
@@ -51,24 +54,30 @@ SCRIPT_OF = _script_table()
 
 @dataclass(frozen=True)
 class Band:
-    """What a text may have; texts of fewer than ``least_tokens`` tokens are not held against it.
+    """What a text may have.
 
     ``chars_per_token`` is the range under the first vocabulary and
     ``byte_share`` the most of its tokens that may be byte fallbacks. The token
     entropy of prose grows with its length until common words saturate it, so
     its floor is ``entropy[0] + entropy[1] * log2(tokens / 128)`` bits, at most
-    ``entropy[2]``.
+    ``entropy[2]`` and at most 0.9 of the entropy of tokens that never repeat.
+    ``second`` is the range of characters per token under the second vocabulary,
+    if there is one.
+
+    The measures of a few tokens scatter with the inverse root of their number,
+    so below ``SETTLED`` tokens every bound is wider, by the share
+    ``sqrt(SETTLED / tokens) - 1``: no text goes without a verdict.
     """
 
     chars_per_token: tuple[float, float]
     byte_share: float
     entropy: tuple[float, float, float]
-    least_tokens: int = 40
+    second: tuple[float, float] = (0.1, 12.0)
 
 
 #: By language or script. Wide: a rule rejects what is far from prose, not what is rare.
 BANDS = {
-    "latin": Band((1.45, 6.5), 0.02, (5.35, 0.3, 6.3)),
+    "latin": Band((1.45, 6.5), 0.02, (5.35, 0.3, 6.3), (1.4, 6.5)),
     "greek": Band((0.7, 4.0), 0.05, (4.0, 0.25, 5.0)),
     "cyrillic": Band((1.0, 5.0), 0.05, (4.5, 0.25, 5.5)),
     "hebrew": Band((0.5, 4.0), 0.10, (3.5, 0.25, 4.5)),
@@ -117,10 +126,10 @@ class Ranks:
 
 
 class Cache:
-    """Tokens of words, packed in two bytes each, by the words' hashes: two generations, the older is dropped when the newer is full."""
+    """Tokens of words, packed in four bytes each, by the words' hashes: two generations of bounded bytes, the older is dropped when the newer is full."""
 
     def __init__(self, vocabulary):
-        self.vocabulary, self.new, self.old = vocabulary, {}, {}
+        self.vocabulary, self.new, self.old, self.held = vocabulary, {}, {}, 0
 
     def tokens(self, keys: list[int], word) -> list[bytes]:
         """Packed tokens of each key; ``word(i)`` is the i-th word as a string."""
@@ -134,12 +143,14 @@ class Cache:
                     missing.append(i)
                 else:
                     new[key] = got
+                    self.held += ENTRY + len(got)
             out.append(got)
         if missing:
             for i, got in zip(missing, self.vocabulary.encode([word(i) for i in missing]), strict=True):
-                out[i] = new[keys[i]] = struct.pack(f"<{len(got)}H", *got)
-        if len(new) > CACHED:
-            self.new, self.old = {}, new
+                out[i] = new[keys[i]] = struct.pack(f"<{len(got)}I", *got)
+                self.held += ENTRY + len(out[i])
+        if self.held > CACHED:
+            self.new, self.old, self.held = {}, new, 0
         return out
 
 
@@ -182,12 +193,12 @@ def duplicate_lines(text: str) -> int:
 
 def _entropy(tokens: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
     """Entropy in bits of the tokens of each row."""
-    keys = np.sort((of << 20) | tokens)
+    keys = np.sort((of << 32) | tokens)
     if not len(keys):
         return np.zeros(rows)
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     n = np.diff(np.append(at, len(keys)))
-    row = keys[at] >> 20
+    row = keys[at] >> 32
     total = np.bincount(row, n, rows)
     part = np.bincount(row, n * np.log2(n), rows)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -226,8 +237,8 @@ def measure(batches: Iterator[pa.RecordBatch], vocabularies) -> Iterator[pa.Reco
         of_word = np.repeat(np.arange(rows), n_words)
         for name, cache in loaded:
             packed = cache.tokens(keys, word)
-            size = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
-            flat = np.frombuffer(b"".join(packed), "<u2").astype(np.int64)
+            size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+            flat = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
             at = np.concatenate([[0], np.cumsum(size)])
             per_word = size[inverse]
             begin = np.repeat(at[:-1][inverse] - np.concatenate([[0], np.cumsum(per_word)[:-1]]), per_word) if len(inverse) else np.zeros(0, np.int64)
@@ -247,9 +258,9 @@ def fertility(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A text fails the base rules with fewer
     than ``least_words`` words or more than ``most_repeated`` percent of them in
-    repeated eight-word windows. ``in_band`` holds the first vocabulary's
-    measures against the band of the row's language (if ``bands`` has it) or of
-    its script; ``kept`` is both. Null and empty texts have no words and fail.
+    repeated eight-word windows. ``in_band`` holds the measures against the band
+    of the row's language (if ``bands`` has it) or of its script; ``kept`` is
+    both. Null and empty texts have no words and fail.
     Rows are measured alone: repeated rows and null ids give a row each, an
     empty table gives none, and other columns are not read. The language is
     null where the table has no such column.
@@ -269,9 +280,18 @@ def fertility(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     per_language = [x for x in bands if x not in SCRIPTS]
     measured = rows.mapInArrow(run, schema).withColumn("band", F.when(F.col("lang").isin(per_language), F.col("lang")).otherwise(F.col("script")) if per_language else F.col("script"))
     v = names[0]
+    tokens = F.greatest(F.col(f"{v}_tokens"), F.lit(1))
+    wider = F.greatest(F.lit(1.0), F.sqrt(SETTLED / tokens))
+
+    def within(column: str, low: float, high: float) -> Column:
+        return F.col(column).between(F.lit(low) / wider, F.lit(high) * wider)
+
     verdict = F.lit(True)
     for name, band in bands.items():
-        inside = (F.col(f"{v}_tokens") < band.least_tokens) | (F.col(f"{v}_chars_per_token").between(*band.chars_per_token) & (F.col(f"{v}_byte_share") <= band.byte_share) & (F.col(f"{v}_entropy") >= F.least(F.lit(band.entropy[2]), band.entropy[0] + band.entropy[1] * F.log2(F.col(f"{v}_tokens") / 128))))
-        verdict = F.when(F.col("band") == name, inside).otherwise(verdict)
+        floor = F.least(F.lit(band.entropy[2]), band.entropy[0] + band.entropy[1] * F.log2(tokens / 128), 0.9 * F.log2(tokens)) / wider
+        inside = within(f"{v}_chars_per_token", *band.chars_per_token) & (F.col(f"{v}_byte_share") <= band.byte_share * wider) & (F.col(f"{v}_entropy") >= floor)
+        if len(names) > 1:
+            inside = inside & within(f"{names[1]}_chars_per_token", *band.second)
+        verdict = F.when(F.col("band") == name, (F.col(f"{v}_tokens") == 0) | inside).otherwise(verdict)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     return measured.withColumn("base_failed", failed).withColumn("in_band", verdict).withColumn("kept", ~F.col("base_failed") & F.col("in_band")).drop("lang")

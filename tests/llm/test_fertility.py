@@ -1,10 +1,12 @@
 import math
 import re
+import struct
 from collections import Counter, defaultdict
 
 import pytest
 
-from nearfield.llm.fertility import Band, Pieces, fertility
+from nearfield.llm import fertility as module
+from nearfield.llm.fertility import Band, Cache, Pieces, fertility
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PROSE = "The quick brown fox jumps over the lazy dog while seven tired editors argue about commas, semicolons and whether anyone still reads the footnotes of a long report on river traffic in the north. "
@@ -59,7 +61,7 @@ def test_bands(spark):
     rows = [(0, PROSE, "en"), (1, "$$ %% ## @@ " * 30, "en"), (2, PROSE, "xx")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r["id"]: r["kept"] for r in fertility(df).collect()} == {0: True, 1: False, 2: True}
-    strict = {"xx": Band((50, 60), 0.0, (0, 0, 0), 10)}
+    strict = {"xx": Band((50, 60), 0.0, (0, 0, 0))}
     assert {r["id"]: r["in_band"] for r in fertility(df, bands=strict).collect()}[2] is False
     assert {r["id"]: r["in_band"] for r in fertility(df, bands=strict).collect()}[0] is True
 
@@ -72,6 +74,27 @@ def test_bands_of_short_texts(spark):
     assert {i: r["kept"] for i, r in found.items()} == {1: False, 2: True}
 
 
+def test_no_text_goes_without_a_verdict(spark):
+    rows = [(1, "aa " * 21), (2, "the " * 24), (3, PROSE[:140])]
+    found = {r["id"]: r for r in fertility(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["in_band"] for i, r in found.items()} == {1: False, 2: False, 3: True}
+    narrow = {"latin": Band((50, 60), 0.0, (0, 0, 0))}
+    assert not any(r["in_band"] for r in fertility(spark.createDataFrame([(1, PROSE), (2, PROSE[:140])], "doc_id long, text string"), bands=narrow).collect())
+
+
+def test_cache_of_a_large_vocabulary_is_bounded(monkeypatch):
+    class Large:
+        def encode(self, words):
+            return [[len(w), 200_000] for w in words]
+
+    monkeypatch.setattr(module, "CACHED", 2000)
+    cache = Cache(Large())
+    for i in range(200):
+        packed = cache.tokens([i, i + 1], lambda j: "x" * (70_000 + j))
+        assert [struct.unpack("<2I", p)[1] for p in packed] == [200_000] * 2
+        assert sum(module.ENTRY + len(v) for v in cache.new.values()) <= 2000 + 2 * (module.ENTRY + 8)
+
+
 def test_empty_and_no_language(spark):
     assert fertility(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert fertility(spark.createDataFrame([(1, PROSE)], "doc_id long, text string")).first()["kept"] is True
