@@ -47,6 +47,21 @@ def join_unique(rows: DataFrame, unique: DataFrame, on: list[str], times: str) -
     return rows.join(few, on).unionByName(rest.join(unique.where(~heavy).drop(times), on))
 
 
+def join_salted(rows: DataFrame, table: DataFrame, on: str, scratch: Scratch, salts: int = 64) -> DataFrame:
+    """Inner join on a column of which either side may have many rows a key.
+
+    Keys that more than one in ``HEAVY`` of ``rows`` have, and there are less
+    than ``HEAVY`` of those, are dealt over ``salts`` tasks each, with as many
+    copies of their rows in ``table``.
+    """
+    counts = scratch.write(rows.groupBy(on).agg(F.count("*").alias("times")), "counts")
+    total = counts.agg(F.sum("times")).first()[0] or 0
+    heavy = F.broadcast(counts.where(F.col("times") * HEAVY > F.lit(total)).select(on))
+    dealt = rows.join(heavy, on, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    copies = table.join(heavy, on, "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [on, "_salt"]).drop("_salt").unionByName(rows.join(heavy, on, "left_anti").join(table, on))
+
+
 class Scratch:
     """Written tables of one operator call.
 

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nearfield.llm.tiling import contamination, tile, tilings
 
@@ -60,7 +61,7 @@ def test_documents(spark):
     for i, t in docs:
         for j, u in items:
             a, b = words(u), words(t)
-            if i is None or len(a) < 5 or len(b) > 1000:
+            if len(a) < 5 or len(b) > 1000:
                 continue
             covered = sum(n for _, _, n in brute_tile(a, b, 5))
             if covered * 100 >= 50 * len(a):
@@ -72,6 +73,34 @@ def test_documents(spark):
     assert len(found) == len(docs)
     assert {r["id"] for r in found if r["contaminated"]} == {i for i, _ in want}
     assert all(r["n_items"] == sum(i == r["id"] for i, _ in want) for r in found)
+    assert (None, 0) in want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_few_words_repeated_often(spark, seed):
+    """Seeds that items and documents repeat, and that most of them share."""
+    rng = random.Random(seed)
+    text = lambda n: " ".join(rng.choices("ab" if rng.random() < 0.5 else "abc", k=rng.randrange(n)))
+    items, docs = [(i, text(30)) for i in range(10)], [(i, text(40)) for i in range(25)]
+    docs += [(30, "x " + items[0][1]), (31, items[1][1] + " x " + items[1][1]), (3, items[2][1])]
+    want = {}
+    for i, t in docs:
+        for j, u in items:
+            a, b = words(u), words(t)
+            covered = sum(n for _, _, n in brute_tile(a, b, 5)) if len(a) >= 5 else 0
+            if covered and covered * 100 >= 50 * len(a):
+                want[(i, t, j)] = covered
+    df = spark.createDataFrame([(i, t, 1) for i, t in docs], SCHEMA)
+    got = tilings(df, spark.createDataFrame(items, "item_id long, text string"))
+    keyed = df.select(F.xxhash64("text").alias("which"), "text").distinct()
+    assert {(r["id"], r["text"], r["item_id"]): r["covered"] for r in got.join(keyed, "which").collect()} == want
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(9)) for x in "ab")
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    df = spark.createDataFrame([("k", a), ("k", b), (None, a), (None, b), ("l", None)], "doc_id string, text string")
+    assert sorted((r["id"] or "", r["contaminated"]) for r in contamination(df, bench).collect()) == [("", False), ("", True), ("k", False), ("k", True), ("l", False)]
 
 
 def test_reordered_sentences_are_caught_and_clean_ones_left(spark):
