@@ -21,34 +21,70 @@ from nearfield.llm.tiling import contamination
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """Rows of ``docs`` but those whose id and text (``gone_id``, a hash ``gone_which``) are in ``gone``; a null id is an id like any other."""
+    gone = Scratch(docs.sparkSession, name).write(gone.select("gone_id", "gone_which").distinct(), name)
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_which"))
+    return docs.select(COLUMNS).join(gone, same, "left_anti")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the tokeniser rules keep; a document's rows are judged together if its id repeats."""
-    verdict = Scratch(spark, "quality").write(fertility(docs).where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct(), "rejected")
-    return docs.join(verdict, "doc_id", "left_anti").select(COLUMNS)
+    """Documents that the tokeniser rules keep.
+
+    Each row is judged by its own text, rows without an id and rows that repeat
+    one too; rows repeated whole go or stay together. Null and empty texts go.
+    An empty table stays empty; other columns than those of documents are not
+    read, whatever their names.
+    """
+    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("which")).alias("row"), "text", "lang")
+    found = fertility(rows, "row").where(~F.col("kept"))
+    return _without(docs, found.select(F.col("id.doc_id").alias("gone_id"), F.col("id.which").alias("gone_which")), "rejected")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component of five-word shingles at similarity 0.8; documents without an id stay."""
+    """The document of the smallest id of each component of five-word shingles at similarity 0.8.
+
+    Documents without an id stay, and rows that repeat an id are one document:
+    they go or stay together. Null and empty texts are like nothing and stay. An
+    empty table stays empty; other columns than those of documents are not
+    read.
+    """
     found = jaccard_components(docs, shingle=5, threshold=(80, 100)).where("component < id").select(F.col("id").alias("doc_id")).distinct()
     gone = Scratch(spark, "near").write(found, "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't contain half of a benchmark item, in whatever order."""
+    """Documents that don't contain half of a benchmark item, in whatever order.
+
+    Each row is judged by its own text, rows without an id and rows that repeat
+    one too; rows repeated whole go or stay together. Null and empty texts stay,
+    and so does all of an empty table or with an empty benchmark; other columns
+    than those of documents are not read.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contamination(docs, benchmark).where("contaminated").select(F.col("id").alias("doc_id")).distinct()
-    leaks = Scratch(spark, "leaks").write(found, "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(COLUMNS)
+    found = contamination(docs, benchmark).where("contaminated")
+    return _without(docs, found.select(F.col("id").alias("gone_id"), F.col("which").alias("gone_which")), "leaks")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many rows as there are, on average, with every source at the same share: each document as often as drawn."""
-    return poisson_mixture(docs).select(COLUMNS)
+    """As many rows as there are, on average, with every source at the same share: each document as often as drawn.
+
+    Texts are not looked at, so null and empty ones are drawn like others. A
+    null source is a source; rows that repeat an id draw the same count each,
+    and rows without an id one count for all. An empty table stays empty; other
+    columns than those of documents are left out.
+    """
+    return poisson_mixture(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, each with its shard of at most SHARD_BYTES bytes of text; copies of a document share a shard."""
+    """All rows, each with its shard of at most SHARD_BYTES bytes of text.
+
+    Rows of one id, copies too, share a shard, and so do rows without an id;
+    null and empty texts have no bytes. An empty table stays empty. Other
+    columns stay, but for those named as the ones that are added.
+    """
     return extendible_shards(docs, SHARD_BYTES)
 
 
