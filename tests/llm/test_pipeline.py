@@ -85,6 +85,24 @@ def test_stages_keep_the_columns(spark, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
 
 
+def test_odd_rows(spark, tmp_path):
+    """Rows without an id, of one id, with null or empty texts, and with more columns of unlucky names."""
+    rows, items = fixture(spark, tmp_path)
+    good, junk, leak = rows[60][1], "$$ %% ## @@ " * 40, items[0][1] + " " + items[1][1]
+    odd = [(None, good, "a"), (None, junk, "b"), (None, leak, "c"), (1, good, "d"), (1, junk, "e"), (1, leak, "f"), (2, None, "g"), (3, "", "h")]
+    schema = SCHEMA + ", gone_id string, gone_which string, id string, which int, copy int, shard int, row string"
+    docs = spark.createDataFrame([(i, t, None, "s", 0, tag, "x", "x", 1, 2, 3, tag) for i, t, tag in odd], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    left = lambda name: Counter((r["doc_id"], r["text"]) for r in stages[name](spark, docs, str(tmp_path)).select("doc_id", "text").collect())
+    assert left("quality rules") == Counter([(None, good), (None, leak), (1, good), (1, leak)])
+    assert left("benchmark decontamination") == Counter((i, t) for i, t, _ in odd if t != leak)
+    assert left("n-gram Jaccard join") == Counter((i, t) for i, t, _ in odd)
+    assert left("sharding") == Counter((i, t) for i, t, _ in odd)
+    assert sum(left("mixing sources").values()) >= 0
+    for name in list(stages)[:-1]:
+        assert stages[name](spark, docs, str(tmp_path)).columns == SCHEMA.replace(",", "").split()[::2], name
+
+
 @pytest.mark.parametrize("copies", [2])
 def test_repeated_rows(spark, tmp_path, copies):
     rows, _ = fixture(spark, tmp_path)
