@@ -5,11 +5,14 @@ exceeds the byte limit, and only that one, splits on its next bit, until every
 bucket fits. Here the splits are found at once: bytes are summed per fine prefix
 (pre-aggregated before the shuffle), those sums roll up to every coarser
 prefix, and a document's bucket is its shortest prefix whose bytes fit. Cells
-that do not fit at the fine depth go on alone with more bits.
+that do not fit at the fine depth go on alone with more bits, and what they come
+to is a short list a cell, so that documents are joined with the cells once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,21 +58,47 @@ def extendible_shards(docs: DataFrame, limit_bytes: int, key_columns: tuple[str,
     rows = scratch.write(keyed.select(F.col("_shard_h").alias("h"), F.col("shard_row_bytes").alias("n_bytes")), "rows")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     depth = min(BITS, max(0, (max(1, total // limit_bytes)).bit_length() + spare_bits))
-    least, found = 0, None
-    left, out = rows, keyed
+    top, least, left, cells, finer = depth, 0, rows, [], []
     while True:
-        cells = scratch.write(_leaves(left, depth, least, limit_bytes), f"cells{depth}")
-        # the table's size is known from its files, so a small one is broadcast and a large one is not
-        name = f"_shard_{depth}"
-        out = out.withColumn("_shard_cell", _prefix(F.col("_shard_h"), depth)).join(cells.select(F.col("cell").alias("_shard_cell"), F.col("local").alias(name)), "_shard_cell", "left").drop("_shard_cell")
-        found = F.col(name) if found is None else F.coalesce(found, F.col(name))
-        open_cells = cells.where("local is null").select("cell")
+        cells.append(scratch.write(_leaves(left, depth, least, limit_bytes), f"cells{depth}"))
+        if least:
+            start = F.call_function("shiftleft", F.col("cell"), F.lit(BITS - depth))
+            finer.append(cells[-1].where("local is not null").select(_prefix(start, top).alias("cell"), F.struct(start.alias("start"), "local").alias("leaf")))
+        open_cells = cells[-1].where("local is null").select("cell")
         if depth >= BITS or not open_cells.limit(1).count():
             break
         left = left.withColumn("cell", _prefix(F.col("h"), depth)).join(open_cells, "cell", "left_semi").select("h", "n_bytes")
         least, depth = depth + 1, min(BITS, depth + 8)
+    # a cell that is open holds what a shard does and a few more keys, so its list is short
+    found = cells[0].withColumn("leaves", F.lit(None).cast("array<struct<start: bigint, local: int>>"))
+    if finer:
+        lists = reduce(DataFrame.union, finer).groupBy("cell").agg(F.sort_array(F.collect_list("leaf")).alias("more"))
+        found = cells[0].join(lists, "cell", "left").withColumnRenamed("more", "leaves")
+    # the table's size is known from its files, so a small one is broadcast and a large one is not
+    found = scratch.write(found.select(F.col("cell").alias("_shard_cell"), F.col("local").alias("_shard_local"), F.col("leaves").alias("_shard_leaves")), "found")
+    out = keyed.withColumn("_shard_cell", _prefix(F.col("_shard_h"), top)).join(found, "_shard_cell")
+    below = F.element_at(F.filter("_shard_leaves", lambda x: x["start"] <= F.col("_shard_h")), -1)["local"]
+    found = F.coalesce("_shard_local", below)
     names = [c for c in docs.columns]
     out = out.withColumn("shard_depth", found.cast("int"))
     bits = F.when(F.col("shard_depth") > 0, F.lpad(F.bin(F.call_function("shiftright", F.col("_shard_h"), (F.lit(BITS) - F.col("shard_depth")).cast("int"))), F.col("shard_depth"), F.lit("0"))).otherwise(F.lit(""))
-    scratch.drop(rows)
+    scratch.drop(rows, *cells)
     return out.withColumn("shard", bits).select(*names, *added)
+
+
+def directory(shards: DataFrame, bits: int | None = None) -> DataFrame:
+    """``entry, shard, shard_depth, n_rows, n_bytes``: the directory over the rows of ``extendible_shards``.
+
+    Every sequence of ``bits`` bits, by default the depth of the deepest shard
+    and at most 20, points to the shard that it begins with or that begins with
+    it; shards of more bits than that have an entry each by their first bits. An
+    empty table has an empty directory.
+    """
+    sums = shards.groupBy("shard", "shard_depth").agg(F.count("*").alias("n_rows"), F.sum("shard_row_bytes").alias("n_bytes"))
+    if bits is None:
+        bits = min(20, sums.agg(F.max("shard_depth")).first()[0] or 0)
+    rest = F.greatest(F.lit(0), F.lit(bits) - F.col("shard_depth"))
+    ends = F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), rest) - 1))
+    return sums.withColumn("_end", ends).select(
+        F.concat(F.substring("shard", 1, bits), F.when(rest > 0, F.lpad(F.bin("_end"), rest, F.lit("0"))).otherwise(F.lit(""))).alias("entry"), "shard", "shard_depth", "n_rows", "n_bytes"
+    )

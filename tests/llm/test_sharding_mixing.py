@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from nearfield.llm.mixing import poisson_mixture, poisson_table
-from nearfield.llm.sharding import extendible_shards
+from nearfield.llm.sharding import directory, extendible_shards
 
 
 def bits(key):
@@ -46,8 +46,24 @@ def test_cells_that_need_more_bits(spark):
     assert {r["doc_id"]: r["shard"] for r in extendible_shards(df, 5001, spare_bits=-4).collect()} == {i: want[bits(i)] for i, _ in rows}
 
 
+def test_directory(spark):
+    rows = [(i, "x" * (i % 50)) for i in range(300)]
+    shards = extendible_shards(spark.createDataFrame(rows, "doc_id long, text string"), 400).cache()
+    found = directory(shards).collect()
+    deepest = max(r["shard_depth"] for r in found)
+    held = {r["shard"] for r in shards.collect()}
+    # every entry of a directory of full depth points to one shard; only prefixes without a document have none
+    assert len({r["entry"] for r in found}) == len(found) and {r["shard"] for r in found} == held
+    assert all(len(r["entry"]) == deepest and r["entry"].startswith(r["shard"]) for r in found)
+    assert {bits(i)[:deepest] for i, _ in rows} <= {r["entry"] for r in found}
+    short = directory(shards, 2).collect()
+    assert {r["shard"] for r in short} == held and all(r["entry"] == r["shard"][:2] for r in short if r["shard_depth"] > 1)
+    assert {r["shard"]: r["n_bytes"] for r in found} == {s: sum(r["shard_row_bytes"] for r in shards.collect() if r["shard"] == s) for s in held}
+
+
 def test_no_shards(spark):
-    assert extendible_shards(spark.createDataFrame([], "doc_id long, text string"), 10).collect() == []
+    none = extendible_shards(spark.createDataFrame([], "doc_id long, text string"), 10)
+    assert none.collect() == [] and directory(none).collect() == []
 
 
 def draws(rate, key, seed="mix-1"):
