@@ -40,7 +40,7 @@ from nearfield.llm.textops import LOWER, SPACES, Marks, U, hash_words, list_arra
 
 SEEDS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0))
 HELD = 2 << 20
-CHUNK = 256
+CHUNK = 32
 WIDEST = (1 << 24) - 1
 
 
