@@ -81,11 +81,16 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, each with its shard of at most SHARD_BYTES bytes of text.
 
-    Rows of one id, copies too, share a shard, and so do rows without an id;
-    null and empty texts have no bytes. An empty table stays empty. Other
-    columns stay, but for those named as the ones that are added.
+    The key is the whole row and, for rows repeated whole, a number from 0, so
+    copies and rows of one id or without an id can be split; only a text above
+    the limit makes a shard exceed it. Null and empty texts have no bytes. An
+    empty table stays empty; other columns than those of documents are left
+    out.
     """
-    return extendible_shards(docs, SHARD_BYTES)
+    # equal rows are counted before they move and numbered after, so that no group of copies is one task's
+    counted = docs.select(COLUMNS).groupBy(COLUMNS).agg(F.count("*").alias("times"))
+    numbered = counted.withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).drop("times")
+    return extendible_shards(numbered, SHARD_BYTES, (*COLUMNS, "number")).drop("number")
 
 
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontaminated), ("mixing sources", mixed), ("sharding", sharded)]
