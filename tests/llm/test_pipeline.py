@@ -60,8 +60,31 @@ def brute(rows, items, rejected):
     left = [r for r in left if not leaks(r[1])]
     n = Counter(r[3] or "" for r in left)
     left = [r for r in left for _ in range(sharding.draws(len(left) / len(n) / n[r[3] or ""], r[0]))]
-    shards = sharding.split([(sharding.bits(r[0]), len((r[1] or "").encode())) for r in left], SHARD_BYTES)
-    return Counter((r[0], r[1], shards[sharding.bits(r[0])]) for r in left)
+    return brute_shards([(*r, len(r[1] or "")) for r in left], SHARD_BYTES)
+
+
+def brute_shards(rows, limit):
+    """Keys are whole rows, and the number of a row among those equal to it."""
+    seen, keys = Counter(), []
+    for r in rows:
+        keys.append(sharding.bits("\x1f".join("" if x is None else str(x) for x in (*r, seen[r]))))
+        seen[r] += 1
+    shards = sharding.split([(k, len((r[1] or "").encode())) for k, r in zip(keys, rows)], limit)
+    return Counter((r[0], r[1], shards[k]) for k, r in zip(keys, rows))
+
+
+def test_copies_split(spark, tmp_path, monkeypatch):
+    """Copies of few documents and rows of one id keep to the limit, but for a text above it."""
+    monkeypatch.setattr(corpus_pipeline, "SHARD_BYTES", 900)
+    rows = [(1, "é" * 50, "en", "s", 50)] * 200 + [(2, f"t{i % 20}" * 30, None, "s", 5) for i in range(60)] + [(None, "none", None, None, None)] * 300
+    rows += [(3, "x" * 2000, "en", "s", 2000), (4, None, None, None, None), (4, None, None, None, None), (5, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = corpus_pipeline.sharded(spark, docs, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["text"], r["shard"]) for r in found) == brute_shards(rows, 900)
+    size = Counter()
+    for r in found:
+        size[r["shard"]] += r["shard_row_bytes"]
+    assert [r["doc_id"] for r in found if size[r["shard"]] > 900] == [3]
 
 
 def test_fixture(spark, tmp_path):
