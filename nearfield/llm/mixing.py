@@ -4,7 +4,8 @@ A source's repetition rate is its target share of the mixture over its present
 share. Each document draws its number of copies by inverting the Poisson
 distribution of that mean at a point hashed from a seed and its id, so a run
 can be repeated, and a task that is run again draws the same. Copies are
-exploded and shuffled globally by a hash of seed, id and copy.
+exploded and shuffled globally by a hash of seed, id and copy. Where a rate is
+high, the copies of a document are dealt over tasks in blocks before that.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.store import Scratch
+from nearfield.llm.store import BLOCK, Scratch, repeated
 
 POINTS = 52  # bits of the hashed point: exact in a double
 
@@ -73,13 +74,14 @@ def poisson_mixture(docs: DataFrame, weights: dict[str, float] | None = None, to
     scratch.drop(weighted)
     name = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
     point = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, POINTS // 4), 16, 10).cast("long") / F.lit(float(1 << POINTS))
-    drawn = (
-        docs.withColumn("_mix_source", source)
-        .join(tables, "_mix_source")
-        .withColumn("_mix_u", point)
-        .withColumn("n_copies", F.col("_mix_low") + F.size(F.filter("_mix_table", lambda x: x <= F.col("_mix_u"))))
-        .where("n_copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
-    )
+
+    def drawn(tables: DataFrame) -> DataFrame:
+        met = docs.withColumn("_mix_source", source).join(tables.drop("rate"), "_mix_source").withColumn("_mix_u", point)
+        return met.withColumn("n_copies", F.col("_mix_low") + F.size(F.filter("_mix_table", lambda x: x <= F.col("_mix_u")))).where("n_copies > 0")
+
+    often = F.col("rate") > BLOCK
+    copies = repeated(drawn(tables.where(~often)), "n_copies", "copy")
+    if tables.where(often).limit(1).count():
+        copies = copies.unionByName(repeated(drawn(tables.where(often)), "n_copies", "copy", dealt=True))
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:shuffle:"), name, F.lit(":"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    return drawn.withColumn("shuffle_key", key).select(*docs.columns, *added).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return copies.withColumn("shuffle_key", key).select(*docs.columns, *added).repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -53,6 +53,25 @@ def join_salted(rows: DataFrame, table: DataFrame, on: str, scratch: Scratch, sa
     return dealt.join(copies, [on, "_salt"]).drop("_salt").unionByName(rows.join(heavy, on, "left_anti").join(table, on))
 
 
+#: Copies of a row that one task makes at a time.
+BLOCK = 256
+
+
+def repeated(rows: DataFrame, times: str, number: str, dealt: bool = False) -> DataFrame:
+    """Each row as often as its column ``times`` (1 or more) says, with ``number`` from 0.
+
+    ``dealt``: blocks of ``BLOCK`` copies are dealt over all tasks before they
+    are made, so that the copies of one row are not one task's work.
+    """
+    zero = F.lit(0).cast("long")
+    if not dealt:
+        return rows.withColumn(number, F.explode(F.sequence(zero, F.col(times).cast("long") - 1)))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = rows.withColumn("_block", F.explode(F.sequence(zero, F.expr(f"({times} - 1) div {BLOCK}")))).repartition(tasks)
+    begin = F.col("_block") * BLOCK
+    return blocks.withColumn(number, F.explode(F.sequence(begin, F.least(begin + BLOCK, F.col(times).cast("long")) - 1))).drop("_block")
+
+
 class Scratch:
     """Written tables of one operator call.
 

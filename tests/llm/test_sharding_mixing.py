@@ -98,6 +98,17 @@ def test_weights(spark):
     assert {r["source"] for r in poisson_mixture(df, {"b": 1}).collect()} == {"b"}
 
 
+def test_high_rates(spark):
+    """Copies that are made in blocks, of a source of one document beside one of many."""
+    rows = [(0, "x", "a"), (1, "y", "a"), (None, None, "b")] + [(i, "z", "c") for i in range(2, 900)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, rate int")
+    found = poisson_mixture(df, total=6000).collect()
+    n = Counter(s for _, _, s in rows)
+    want = Counter((i, t, s, c) for i, t, s in rows for c in range(draws(6000 / 3 / n[s], i)))
+    assert Counter((r["doc_id"], r["text"], r["source"], r["copy"]) for r in found) == want
+    assert {r["n_copies"] for r in found if r["doc_id"] == 0} == {draws(1000, 0)} and draws(1000, 0) > 800
+
+
 def test_no_mixture(spark):
     assert poisson_mixture(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
 
