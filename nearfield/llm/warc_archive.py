@@ -3,8 +3,10 @@
 Payload bytes are stored once each, in a table addressed by their SHA-256; the
 exact headers of every record are in another. A digest is verified when a
 payload is read. Both tables are bucketed by address, so that reading moves no
-payload but those of very many records. Joins of the two tables give back
-the records as they would stand in a WARC file.
+payload but those of very many records; headers of payloads that more than a
+thousandth of all records have are in a third table, in files of any task, since
+a bucket would be one task's. Joins of the tables give back the records as they
+would stand in a WARC file.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.store import Scratch
+from nearfield.llm.store import HEAVY, Scratch, repeated
 
 CRLF = "\r\n"
 #: Records of one payload from which they are dealt over SALTS tasks.
@@ -34,10 +36,11 @@ def _uuid(text: Column) -> Column:
 
 @dataclass
 class Archive:
-    """Tables ``headers`` and ``payloads`` of one archive."""
+    """Tables of one archive: ``headers``, ``payloads``, and ``crowded``, the headers of payloads that very many records have."""
 
     headers: DataFrame
     payloads: DataFrame
+    crowded: DataFrame
 
     def verified(self) -> DataFrame:
         """The payloads, each checked against its address; a wrong one raises an error."""
@@ -57,7 +60,7 @@ class Archive:
         original had it; else they end after their headers, as in the archive.
         """
         payloads = self.verified()
-        few, many = self.headers.where("not often"), self.headers.where("often")
+        few, many = self.headers.where("not often"), self.headers.where("often").unionByName(self.crowded)
         joined = few.join(payloads, "address")
         # a payload of many records would be one task's: its records are dealt over salts
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
@@ -85,10 +88,16 @@ def write_archive(pages: DataFrame, id_column: str = "page_id", url_column: str
     described = rows.select("id", "url", "address", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n_bytes"))
     known = scratch.write(described.groupBy("id", "url", "address", "sha1", "n_bytes").agg(F.count("*").alias("times")), "known")
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("url").isNull().alias("no_url"), F.col("url"))
-    firsts = known.groupBy("address").agg(F.min(place).alias("first"), (F.sum("times") >= OFTEN).alias("often"))
-    placed = known.join(firsts, "address").withColumn("is_first", F.col("first.id").eqNullSafe(F.col("id")) & F.col("first.url").eqNullSafe(F.col("url")))
-    copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
-    response = (F.col("n_bytes") < least_bytes) | (F.col("is_first") & (F.col("copy") == 0))
+    firsts = scratch.write(known.groupBy("address").agg(F.min(place).alias("first"), F.sum("times").alias("of_all")).withColumn("often", F.col("of_all") >= OFTEN), "firsts")
+    total = firsts.agg(F.sum("of_all")).first()[0] or 0
+    # there are fewer than HEAVY of these
+    crowds = F.broadcast(firsts.where("often").where(F.col("of_all") * HEAVY > F.lit(total)).drop("of_all"))
+    rest = known.join(crowds.select("address"), "address", "left_anti")
+    # by a sort-merge join, so that each bucket is one file
+    placed = repeated(rest.join(firsts.drop("of_all").hint("merge"), "address"), "times", "copy")
+    crowded = repeated(known.join(crowds, "address"), "times", "copy", dealt=True)
+    is_first = F.col("first.id").eqNullSafe(F.col("id")) & F.col("first.url").eqNullSafe(F.col("url"))
+    response = (F.col("n_bytes") < least_bytes) | (is_first & (F.col("copy") == 0))
 
     def uri(url: Column, id_: Column) -> Column:
         """A header is one line: line ends in a URL are escaped."""
@@ -97,9 +106,9 @@ def write_archive(pages: DataFrame, id_column: str = "page_id", url_column: str
     def record_id(id_: Column, url: Column, copy: Column) -> Column:
         return F.concat(F.lit("<urn:uuid:"), _uuid(F.concat_ws("\x1f", F.coalesce(id_.cast("string"), F.lit("\x00")), F.coalesce(url, F.lit("\x00")), F.col("address"), copy.cast("string"))), F.lit(">"))
 
-    typed = copies.withColumn("record_type", F.when(response, F.lit("response")).otherwise(F.lit("revisit"))).withColumn("payload_digest", base32(F.col("sha1")))
+    record_type = F.when(response, F.lit("response")).otherwise(F.lit("revisit"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n_bytes").cast("string"), F.lit(2 * CRLF))
-    typed = typed.withColumn("http", http).withColumn("block", F.octet_length("http") + F.when(F.col("record_type") == "response", F.col("n_bytes")).otherwise(F.lit(0)))
+    block = F.octet_length("http") + F.when(F.col("record_type") == "response", F.col("n_bytes")).otherwise(F.lit(0))
     refers = F.when(
         F.col("record_type") == "revisit",
         F.concat(
@@ -117,13 +126,19 @@ def write_archive(pages: DataFrame, id_column: str = "page_id", url_column: str
         F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), F.col("payload_digest"), F.lit(CRLF), refers,
         F.lit(f"Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.col("block").cast("string"), F.lit(2 * CRLF),
     )
-    headers = typed.select("id", "url", "copy", "address", "often", "record_type", "n_bytes", F.when(F.col("record_type") == "revisit", F.col("first.id")).alias("refers_to"), F.encode(header, "UTF-8").alias("warc_header"), F.encode("http", "UTF-8").alias("http_header"))
-    headers = scratch.write_bucketed(headers, "headers", "address")
+
+    def described_by(copies: DataFrame) -> DataFrame:
+        typed = copies.withColumn("record_type", record_type).withColumn("payload_digest", base32(F.col("sha1"))).withColumn("http", http).withColumn("block", block)
+        refers_to = F.when(F.col("record_type") == "revisit", F.col("first.id")).alias("refers_to")
+        return typed.select("id", "url", "copy", "address", "often", "record_type", "n_bytes", refers_to, F.encode(header, "UTF-8").alias("warc_header"), F.encode("http", "UTF-8").alias("http_header"))
+
+    headers = scratch.write_bucketed(described_by(placed), "headers", "address")
+    crowded = scratch.write(described_by(crowded), "crowded")
     # any record's bytes serve for an address; equal ones are dropped before and after they move
     stored = rows.select("address", "payload").dropDuplicates(["address"]).join(firsts.select("address", "often"), "address")
     payloads = scratch.write_bucketed(stored.select("address", "often", "payload"), "payloads", "address")
-    scratch.drop(known)
-    return Archive(headers, payloads)
+    scratch.drop(known, firsts)
+    return Archive(headers, payloads, crowded)
 
 
 def read_back(archive: Archive) -> DataFrame:

@@ -61,13 +61,31 @@ def test_bytes_of_records(spark):
 def test_many_records_of_one_payload(spark):
     rows = [(i, f"u{i}", "same" if i % 3 else f"own{i}") for i in range(900)]
     archive = write_archive(frame(spark, rows))
-    assert archive.headers.where("often").count() == 600
+    assert archive.crowded.count() == 600 and archive.headers.count() == 300
     assert sorted(((r["id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in read_back(archive).collect()), key=str) == plain(rows)
 
 
+def test_many_copies_of_one_row(spark):
+    rows = [(7, "u", "same")] * 700 + [(3, "v", "same"), (8, "w", "other")]
+    archive = write_archive(frame(spark, rows))
+    assert archive.crowded.count() == 701
+    assert sorted(((r["id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in read_back(archive).collect()), key=str) == plain(rows)
+    assert archive.records().select("id", "url", "copy").distinct().count() == len(rows)
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_payloads_of_a_few_hundred_records(spark, least, monkeypatch):
+    """Between a crowd and a few: in the buckets, read by salts."""
+    monkeypatch.setattr("nearfield.llm.warc_archive.HEAVY", 2)
+    rows = [(i, f"u{i}", "same" if i < 300 else f"own{i % 400}") for i in range(900)]
+    archive = write_archive(frame(spark, rows), least_bytes=least)
+    assert archive.crowded.count() == 0 and archive.headers.where("often").count() == 300
+    assert sorted(((r["id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in read_back(archive).collect()), key=str) == plain(rows, least)
+
+
 def test_damage_is_found(spark):
     archive = write_archive(frame(spark, ROWS))
-    broken = Archive(archive.headers, archive.payloads.withColumn("payload", F.concat("payload", F.lit(b"!"))))
+    broken = Archive(archive.headers, archive.payloads.withColumn("payload", F.concat("payload", F.lit(b"!"))), archive.crowded)
     with pytest.raises(Exception, match="damaged payload"):
         read_back(broken).collect()
 
