@@ -144,6 +144,32 @@ def spliced(texts: list[list[int]], labels: list[int], rng: np.random.Generator,
     return np.array(flat, np.int64), np.array(gold, np.int64), np.array(first, np.int64)
 
 
+class Sample:
+    """Training sequences: the features ``found[at[i]:at[i + 1]]`` of distinct word ``i``, the words ``flat`` of all sequences, their labels and where sequences begin and end."""
+
+    def __init__(self, found: np.ndarray, at: np.ndarray, flat: np.ndarray, gold: np.ndarray, begin: np.ndarray, k: int):
+        self.found, self.at, self.flat, self.gold, self.begin, self.k = found, at, flat, gold, begin, k
+        self.size = np.diff(at)
+        self.of = np.repeat(np.arange(len(self.size)), self.size)
+        self.want = np.zeros((len(self.size), k))
+        np.add.at(self.want, (flat, gold), 1)
+        joined = np.ones(len(flat), bool)
+        joined[begin[:-1]] = False
+        self.steps = np.zeros((k, k))
+        np.add.at(self.steps, (gold[:-1][joined[1:]], gold[1:][joined[1:]]), 1)
+        self.starts = np.bincount(gold[begin[:-1]], minlength=k)
+
+    def likelihood(self, w: np.ndarray, model: Model) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """The log-likelihood of the labels, and its derivatives by ``w`` (the weights of the features), transitions and initial scores."""
+        emit = np.add.reduceat(w[self.found], self.at[:-1], 0) / np.sqrt(self.size)[:, None]
+        p, pairs, log_z = marginals(emit[self.flat], self.begin, model)
+        got = np.stack([np.bincount(self.flat, p[:, j], len(self.size)) for j in range(self.k)], 1)
+        diff = (self.want - got) / np.sqrt(self.size)[:, None]
+        by_w = np.stack([np.bincount(self.found, diff[self.of, j], len(w)) for j in range(self.k)], 1)
+        score = (self.want * emit).sum() + (self.steps * model.transition).sum() + self.starts @ model.initial
+        return score - log_z, by_w, self.steps - pairs, self.starts - p[self.begin[:-1]].sum(0)
+
+
 def train(texts: list[str], labels: list[str], seed: int = 7, rounds: int = 25, decay: float = 1e-6, rate: float = 0.15) -> Model:
     """Maximum likelihood of the labels of spliced sequences, by Adam on all of them."""
     languages = sorted(set(labels))
@@ -160,26 +186,15 @@ def train(texts: list[str], labels: list[str], seed: int = 7, rounds: int = 25,
     if not len(flat):
         return model
     used, found = np.unique(found, return_inverse=True)
-    size = np.diff(at)
-    of = np.repeat(np.arange(len(size)), size)
+    sample = Sample(found, at, flat, gold, begin, k)
     w = np.zeros((len(used), k))
-    want = np.zeros((len(size), k))
-    np.add.at(want, (flat, gold), 1)
-    joined = np.ones(len(flat), bool)
-    joined[begin[:-1]] = False
-    steps = np.zeros((k, k))
-    np.add.at(steps, (gold[:-1][joined[1:]], gold[1:][joined[1:]]), 1)
-    starts_gold = np.bincount(gold[begin[:-1]], minlength=k)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, model.transition, model.initial)]
     for r in range(1, rounds + 1):
-        emit = np.add.reduceat(w[found], at[:-1], 0) / np.sqrt(size)[:, None]
-        p, pairs, _ = marginals(emit[flat], begin, model)
-        got = np.stack([np.bincount(flat, p[:, j], len(size)) for j in range(k)], 1)
-        diff = (want - got) / np.sqrt(size)[:, None]
+        _, by_w, by_transition, by_initial = sample.likelihood(w, model)
         grads = (
-            np.stack([np.bincount(found, diff[of, j], len(used)) for j in range(k)], 1) / len(flat) - decay * w,
-            (steps - pairs) / len(flat) - decay * model.transition,
-            (starts_gold - p[begin[:-1]].sum(0)) / len(begin) - decay * model.initial,
+            by_w / len(flat) - decay * w,
+            by_transition / len(flat) - decay * model.transition,
+            by_initial / len(begin) - decay * model.initial,
         )
         for x, g, (m, v) in zip((w, model.transition, model.initial), grads, state, strict=True):
             m += 0.1 * (g - m)

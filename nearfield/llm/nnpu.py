@@ -63,6 +63,24 @@ def _padded(rows: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(cols), np.concatenate(of)
 
 
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The logistic risk of scores of toxic and of unlabelled texts, and what the step descends.
+
+    The positive part, the corrected negative part (that of the unlabelled texts
+    less the toxic ones' share of it), and derivatives by the scores: of the sum
+    of the parts, or, where the corrected part is below zero, of that part
+    reversed.
+    """
+    n_pos, n_unl = max(1, len(zp)), max(1, len(zu))
+    sp, su = 1 / (1 + np.exp(-np.clip(zp, -40, 40))), 1 / (1 + np.exp(-np.clip(zu, -40, 40)))
+    # losses: positive -log s, negative -log(1 - s)
+    positive = prior * -np.log(np.maximum(sp, 1e-12)).sum() / n_pos
+    corrected = -np.log(np.maximum(1 - su, 1e-12)).sum() / n_unl - prior * (-np.log(np.maximum(1 - sp, 1e-12)).sum() / n_pos)
+    if corrected >= 0:
+        return positive, corrected, prior * (sp - 1) / n_pos - prior * sp / n_pos, su / n_unl
+    return positive, corrected, prior * sp / n_pos, -su / n_unl
+
+
 def train(toxic: list[str], unlabelled: list[str], prior: float, seed: int = 5, rounds: int = 60, least: int = 3, most_words: int = 20_000, evidence: float = 15.0, decay: float = 3e-4, rate: float = 0.05) -> Model:
     """A model from texts; ``prior`` is the share of toxic texts among the unlabelled."""
     nothing = Model(np.zeros(0, U), np.zeros(0), -2.0)
@@ -105,23 +123,12 @@ def train(toxic: list[str], unlabelled: list[str], prior: float, seed: int = 5,
         for f in range(folds):
             step += 1
             pi, ui = p_fold[po] == f, u_fold[uo] == f
-            n_pos, n_unl = max(1, int((p_fold == f).sum())), max(1, int((u_fold == f).sum()))
             scaled = w * ratio
             zp = np.bincount(po[pi], scaled[px[pi]], len(pos)) + bias
             zu = np.bincount(uo[ui], scaled[ux[ui]], len(unl)) + bias
-            sp, su = 1 / (1 + np.exp(-np.clip(zp, -40, 40))), 1 / (1 + np.exp(-np.clip(zu, -40, 40)))
             inp, inu = p_fold == f, u_fold == f
-            # logistic losses: positive -log s, negative -log(1 - s)
-            negative_u = -np.log(np.maximum(1 - su[inu], 1e-12)).sum() / n_unl
-            negative_p = -np.log(np.maximum(1 - sp[inp], 1e-12)).sum() / n_pos
-            corrected = negative_u - prior * negative_p
-            gp = np.where(inp, prior * (sp - 1) / n_pos, 0.0)
-            if corrected >= 0:
-                gp = gp - np.where(inp, prior * sp / n_pos, 0.0)
-                gu = np.where(inu, su / n_unl, 0.0)
-            else:
-                gp = np.where(inp, prior * sp / n_pos, 0.0)
-                gu = np.where(inu, -su / n_unl, 0.0)
+            gp, gu = np.zeros(len(pos)), np.zeros(len(unl))
+            _, _, gp[inp], gu[inu] = risk(zp[inp], zu[inu], prior)
             g = np.bincount(px[pi], gp[po[pi]], len(w)) + np.bincount(ux[ui], gu[uo[ui]], len(w))
             g = np.append(g * ratio + decay * prior * w, gp.sum() + gu.sum())
             state[0] += 0.1 * (g - state[0])

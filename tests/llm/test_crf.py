@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from nearfield.llm.crf import FEATURE_BITS, GAPS, Model, features, identify, marginals
+from nearfield.llm.crf import FEATURE_BITS, GAPS, Model, Sample, features, identify, marginals
 from nearfield.llm.textops import LOWER, U, hash_spans, mix, raw, word_spans
 
 WORDS = {
@@ -43,6 +43,38 @@ def test_forward_backward_is_exact():
     assert np.allclose(marginals(np.zeros((0, k)), np.array([0, 0, 0]), model)[1], 0)
 
 
+def test_training_descends_the_likelihood():
+    """Derivatives against finite differences of the log-likelihood over all paths."""
+    rng = np.random.default_rng(3)
+    k, words, weights = 3, 5, 7
+    sizes = rng.integers(1, 4, words)
+    found, at = rng.integers(0, weights, sizes.sum()), np.concatenate([[0], np.cumsum(sizes)])
+    begin = np.array([0, 4, 5, 9])
+    flat, gold = rng.integers(0, words, 9), rng.integers(0, k, 9)
+    sample = Sample(found, at, flat, gold, begin, k)
+    w, move, start = rng.normal(size=(weights, k)), rng.normal(size=(k, k)), rng.normal(size=k)
+    model = lambda move, start: Model(list("abc"), np.zeros((1, k)), move, start)
+
+    def plain(w, move, start):
+        emit = np.array([w[found[a:b]].sum(0) / np.sqrt(b - a) for a, b in zip(at, at[1:])])
+        total = 0.0
+        for a, b in zip(begin, begin[1:]):
+            score = lambda path: start[path[0]] + sum(emit[flat[a + t], y] for t, y in enumerate(path)) + sum(move[x, y] for x, y in zip(path, path[1:]))  # noqa: B023, E731
+            total += score(gold[a:b]) - np.log(sum(np.exp(score(path)) for path in itertools.product(range(k), repeat=b - a)))
+        return total
+
+    value, *by = sample.likelihood(w, model(move, start))
+    assert np.isclose(value, plain(w, move, start))
+    for n, g in enumerate(by):
+        for i in np.ndindex(g.shape):
+            sides = []
+            for step in (1e-5, -1e-5):
+                at_ = [w.copy(), move.copy(), start.copy()]
+                at_[n][i] += step
+                sides.append(plain(*at_))
+            assert np.isclose(g[i], (sides[0] - sides[1]) / 2e-5, atol=1e-6)
+
+
 def test_features_are_all_ngrams_of_the_whole_word():
     texts = ["a ab Straße", "x" * 40 + "y", "一" * 30 + " é", "thequickbrownfoxjumpsoverthelazydogagain", "", "thequickbrownfoxJUMPEDoverthelazydogagain"]
     buf, off = raw(pa.array(texts))

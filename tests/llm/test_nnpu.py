@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from nearfield.llm.nnpu import toxicity, train
+from nearfield.llm.nnpu import risk, toxicity, train
 
 SCHEMA = "doc_id long, text string, score double"
 BAD = ["vile", "scum", "wretch", "filth"]
@@ -40,6 +41,35 @@ def test_negative_labels_are_not_used(spark):
     assert sorted(a) == sorted(b)
 
 
+@pytest.mark.parametrize("prior,shift", [(0.1, 1.0), (0.3, 0.0), (0.6, -3.0)])
+def test_risk_and_its_derivatives(prior, shift):
+    """Against the plain formula, and against finite differences."""
+    rng = np.random.default_rng(7)
+    zp, zu = rng.normal(1, 2, 9), rng.normal(shift, 1, 14)
+
+    def parts(zp, zu):
+        s = lambda z: 1 / (1 + np.exp(-z))
+        return prior * np.mean(-np.log(s(zp))), np.mean(-np.log(1 - s(zu))) - prior * np.mean(-np.log(1 - s(zp)))
+
+    positive, corrected, gp, gu = risk(zp, zu, prior)
+    assert np.allclose((positive, corrected), parts(zp, zu)) and (corrected < 0) == (shift == -3.0)
+
+    def descended(zp, zu):
+        a, b = parts(zp, zu)
+        return a + b if corrected >= 0 else -b
+
+    step = 1e-6
+    for g, z, at in ((gp, zp, lambda z: descended(z, zu)), (gu, zu, lambda z: descended(zp, z))):
+        for i in range(len(z)):
+            move = np.zeros(len(z))
+            move[i] = step
+            assert np.isclose(g[i], (at(z + move) - at(z - move)) / (2 * step), atol=1e-7)
+
+
+def test_no_scores():
+    assert [x.size for x in risk(np.zeros(0), np.zeros(0), 0.3)[2:]] == [0, 0]
+
+
 def test_non_negative_part():
     # with a prior far too high the corrected risk goes below zero; training still ends with finite weights
     model = train(["bad bad"] * 20 + ["bad word"] * 20, ["good word"] * 50 + ["bad"] * 2, 0.6)
