@@ -15,7 +15,7 @@ from nearfield.llm.jaccard_join import jaccard_components
 from nearfield.llm.mixing import poisson_mixture
 from nearfield.llm.queries import SHARD_BYTES
 from nearfield.llm.sharding import extendible_shards
-from nearfield.llm.store import Scratch
+from nearfield.llm.store import BLOCK, Scratch, repeated
 from nearfield.llm.tiling import contamination
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -88,8 +88,9 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out.
     """
     # equal rows are counted before they move and numbered after, so that no group of copies is one task's
-    counted = docs.select(COLUMNS).groupBy(COLUMNS).agg(F.count("*").alias("times"))
-    numbered = counted.withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).drop("times")
+    counted = Scratch(spark, "counted").write(docs.select(COLUMNS).groupBy(COLUMNS).agg(F.count("*").alias("times")), "rows")
+    often = F.col("times") > BLOCK
+    numbered = repeated(counted.where(~often), "times", "number").unionByName(repeated(counted.where(often), "times", "number", dealt=True)).drop("times")
     return extendible_shards(numbered, SHARD_BYTES, (*COLUMNS, "number")).drop("number")
 
 
