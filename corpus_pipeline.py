@@ -36,9 +36,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     An empty table stays empty; other columns than those of documents are not
     read, whatever their names.
     """
-    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("which")).alias("row"), "text", "lang")
-    found = fertility(rows, "row").where(~F.col("kept"))
-    return _without(docs, found.select(F.col("id.doc_id").alias("gone_id"), F.col("id.which").alias("gone_which")), "rejected")
+    rows = docs.select(F.struct(*COLUMNS).alias("row"), "text", "lang")
+    return fertility(rows, "row").where("kept").select("id.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
